@@ -56,23 +56,35 @@ def search_url(
     )
 
 
+def _asked(url: Column | str) -> Column:
+    """``key=value`` parts of an address; parse_url would reject one with a raw space."""
+    return F.split(F.regexp_extract(as_column(url), r"^[^?#]*\?([^#]*)", 1), "&")
+
+
+def _value(parts: Column, key: str) -> Column:
+    first = F.get(F.filter(parts, lambda part: part.startswith(f"{key}=")), F.lit(0))
+    return F.try_url_decode(F.substring(first, len(key) + 2, 2**31 - 1))
+
+
 def url_parameter(url: Column | str, key: str) -> Column:
-    """Decoded query parameter of an address, NULL if it is absent or cannot be read."""
-    # A raw space or Hangul letter is not valid in an address, so both are accepted by pattern.
-    raw = F.regexp_extract(as_column(url), rf"^[^?#]*\?(?:[^#]*&)?{re.escape(key)}=([^&#]*)", 1)
-    return F.try_url_decode(F.nullif(raw, F.lit("")))
+    """Decoded query parameter of an address, NULL if it is absent or cannot be decoded."""
+    return _value(_asked(url), key)
 
 
 def request_from_url(url: Column | str) -> Column:
     """Request a search address was made for: query, dates, guests and page number."""
-    column = as_column(url)
-    return F.struct(
-        url_parameter(column, "keyword").alias("query"),
-        stay_date(url_parameter(column, "checkIn")).alias("check_in"),
-        stay_date(url_parameter(column, "checkOut")).alias("check_out"),
-        url_parameter(column, "personal").try_cast("int").alias("adults"),
-        url_parameter(column, "page").try_cast("int").alias("page_no"),
-    )
+
+    def request(parts: Column) -> Column:
+        return F.struct(
+            _value(parts, "keyword").alias("query"),
+            stay_date(_value(parts, "checkIn")).alias("check_in"),
+            stay_date(_value(parts, "checkOut")).alias("check_out"),
+            _value(parts, "personal").try_cast("int").alias("adults"),
+            _value(parts, "page").try_cast("int").alias("page_no"),
+        )
+
+    # A one-element array, so that the address is split once for all five.
+    return F.get(F.transform(F.array(_asked(url)), request), F.lit(0))
 
 
 def output_key(query: Column | str, source: Column | str) -> Column:

@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from staylens.functions.text import as_column
+from staylens.functions.text import as_column, first_match
 
 
 def stay_date(text: Column | str) -> Column:
     """Date of a ``year-month-day`` text, one-digit months and days included; NULL if invalid."""
-    column = as_column(text)
-    return F.when(
-        column.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), F.try_to_date(column, "yyyy-M-d")
-    )
+    # The date format alone would accept longer numbers.
+    valid = first_match(text, r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$")
+    return F.try_to_date(valid, "yyyy-M-d")
 
 
 def korean_date(date: Column | str) -> Column:

@@ -67,7 +67,7 @@ class _Page(HTMLParser):
         self.is_first: list[bool] = []
         self.spans: list[list[int]] = []  # [first text, end of texts, end of elements]
         self.texts: list[str] = []
-        self.owners: list[int] = []
+        self.own_text: dict[int, int] = {}
         self._verbatim: list[bool] = []
         self._open: list[int] = []
         self._open_tags: Counter[str] = Counter()
@@ -104,9 +104,10 @@ class _Page(HTMLParser):
         if any(self._open_tags[tag] for tag in SILENT_TAGS):
             return
         if self._cut:
+            if self._open:
+                self.own_text.setdefault(self._open[-1], len(self.texts))
             self.texts.append(data)
             self._verbatim.append(any(self._open_tags[tag] for tag in VERBATIM_TAGS))
-            self.owners.append(self._open[-1] if self._open else -1)
             self._cut = False
         else:
             self.texts[-1] += data
@@ -144,8 +145,7 @@ class _Page(HTMLParser):
             return self.attrs[node].get(field.attr, "")
         start, end, _ = self.spans[node]
         if field.text == "own":
-            own = (i for i in range(start, end) if self.owners[i] == node)
-            index = next(own, None)
+            index = self.own_text.get(node)
             return "" if index is None else self.texts[index]
         texts = self.texts[start:end]
         if field.text == "nodes":

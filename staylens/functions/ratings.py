@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from staylens import fixed_values as fv
 from staylens.functions.text import as_column, ascii_digits, first_match
 
-_EXACT = "decimal(38,18)"
 
-
-def _doubled(number: Column) -> Column:
-    return F.round(ascii_digits(number).try_cast(_EXACT) * F.lit(2), 1).try_cast("decimal(38,1)")
+def _number(text: Column, pattern: str) -> Column:
+    """First match of a pattern as an exact number."""
+    return ascii_digits(first_match(text, pattern)).try_cast("decimal(38,18)")
 
 
 def rating_x2(text: Column | str) -> Column:
@@ -21,13 +20,12 @@ def rating_x2(text: Column | str) -> Column:
     A text without a decimal number is returned as it is (``5`` stays ``5``); NULL stays NULL.
     """
     column = as_column(text)
-    return F.coalesce(_doubled(first_match(column, fv.DECIMAL_NUMBER)).cast("string"), column)
+    doubled = F.round(_number(column, fv.DECIMAL_NUMBER) * F.lit(2), 1)
+    return F.coalesce(doubled.cast("string"), column)
 
 
 def rating10(text: Column | str, source: Column | str) -> Column:
     """Numeric rating out of 10. One platform rates out of 5; its integers are doubled too."""
-    number = first_match(text, r"(?U)\d+(?:\.\d+)?")
-    plain = F.round(ascii_digits(number).try_cast(_EXACT), 1).try_cast("decimal(5,1)")
-    return F.when(
-        as_column(source) == fv.YANOLJA, _doubled(number).try_cast("decimal(5,1)")
-    ).otherwise(plain)
+    factor = F.when(as_column(source) == fv.YANOLJA, 2).otherwise(1)
+    number = _number(as_column(text), r"(?U)\d+(?:\.\d+)?")
+    return F.round(number * factor, 1).try_cast("decimal(5,1)")

@@ -27,7 +27,10 @@ def ascii_digits(text: Column | str) -> Column:
 
 
 def first_match(text: Column | str, pattern: str, group: int = 0) -> Column:
-    """First match of a pattern, NULL if there is none (the built-in gives ``''``)."""
+    """First match of a pattern, NULL if there is none (the built-in gives ``''``).
+
+    Casts should get NULL, not ``''``: a failing ``try_cast`` raises and catches an error per row.
+    """
     return F.nullif(F.regexp_extract(as_column(text), pattern, group), F.lit(""))
 
 
@@ -70,8 +73,8 @@ def capacity_n(description: Column | str) -> Column:
 
 def int_or(text: Column | str, default: int = fv.DEFAULT_ADULTS) -> Column:
     """The text as INT if it is digits only, else the default (so ``-3`` gives the default)."""
-    digits = ascii_digits(strip(text))
-    return F.coalesce(F.when(digits.rlike(r"^[0-9]+$"), digits.try_cast("int")), F.lit(default))
+    digits = first_match(ascii_digits(strip(text)), r"^[0-9]+$")
+    return F.coalesce(digits.try_cast("int"), F.lit(default))
 
 
 def match_key(name: Column | str) -> Column:

@@ -70,43 +70,47 @@ def aligned(lists: dict[str, Column | str]) -> Column:
     ``arrays_zip`` alone pads the shorter ones with NULL. If an array is NULL, so is the result.
     """
     columns = {name: as_column(column) for name, column in lists.items()}
-    shortest = F.least(*[F.array_size(column) for column in columns.values()])
-    zipped = F.arrays_zip(*[column.alias(name) for name, column in columns.items()])
-    return F.slice(zipped, F.lit(1), shortest)
+    return F.slice(_zipped(columns), F.lit(1), F.least(*map(F.array_size, columns.values())))
 
 
-def misaligned(lists: Sequence[Column | str]) -> Column:
-    """Whether arrays differ in size, so that fields may belong to different listings."""
-    sizes = [F.array_size(as_column(column)) for column in lists]
-    return F.greatest(*sizes) != F.least(*sizes)
+def _zipped(columns: dict[str, Column]) -> Column:
+    return F.arrays_zip(*[column.alias(name) for name, column in columns.items()])
 
 
 def list_pages(
     captures: DataFrame, spec: ListSpec, keys: Sequence[str] = CAPTURE_KEYS
 ) -> DataFrame:
-    """One row per page: its listings as an array, their number, and whether the lists differ."""
+    """One row per page: its lists zipped, the size of the shortest, and whether sizes differ.
+
+    The listings of a page are the first ``n_items`` entries of ``zipped``. If the lists differ
+    in size, fields of different listings may have come together.
+    """
     pages = captures.select(*keys, read_markup("html", spec.lists).alias("page"))
     lists = {name: F.col(f"page.{name}") for name in spec.lists}
+    shortest = F.least(*map(F.array_size, lists.values()))
+    longest = F.greatest(*map(F.array_size, lists.values()))
     return pages.select(
         *keys,
-        aligned(lists).alias("items"),
-        F.least(*[F.array_size(column) for column in lists.values()]).alias("n_items"),
-        misaligned(list(lists.values())).alias("misaligned"),
+        _zipped(lists).alias("zipped"),
+        shortest.alias("n_items"),
+        (shortest != longest).alias("misaligned"),
         F.col("page.error").alias("error"),
     )
 
 
+def explode_lists(pages: DataFrame, keys: Sequence[str] = CAPTURE_KEYS) -> DataFrame:
+    """One row per position of the pages' lists, up to the shortest."""
+    items = F.slice("zipped", F.lit(1), F.col("n_items"))
+    return pages.select(
+        *keys, "misaligned", F.posexplode(items).alias("item_pos", "item")
+    ).select(*keys, "item_pos", "item.*", "misaligned")
+
+
 def extract_aligned(
     captures: DataFrame, spec: ListSpec, keys: Sequence[str] = CAPTURE_KEYS
 ) -> DataFrame:
-    """One row per position up to the shortest list of a page."""
-    page = read_markup("html", spec.lists)
-    lists = {name: page[name] for name in spec.lists}
-    return captures.select(
-        *keys,
-        misaligned(list(lists.values())).alias("misaligned"),
-        F.posexplode(aligned(lists)).alias("item_pos", "item"),
-    ).select(*keys, "item_pos", "item.*", "misaligned")
+    """One row per listing of pages read as parallel lists."""
+    return explode_lists(list_pages(captures, spec, keys), keys)
 
 
 def keyword_list(spec: KeywordSpec, html: Column | str = "html") -> Column:

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from staylens import fixed_values as fv
 from staylens.functions.prices import (
     availability,
+    digits_krw,
     no_rooms,
     price_basis,
     price_digits,
-    price_krw,
 )
 from staylens.functions.text import capacity, capacity_n, room_type
 
@@ -32,31 +32,13 @@ def explode_rooms(
     ``price_krw`` keeps the price found, and ``available`` does not take the word for "sale
     price" as sold out.
     """
-    price = F.col(base_price)
     described = F.filter(rooms, lambda room: room["description"].isNotNull())
-    bookable = availability(described, status_texts)
-
-    def described_room(room: Column) -> Column:
-        own = F.coalesce(price_digits(room["prices"]), price)
-        return _room(
-            room_type(room["description"]),
-            capacity(room["description"]),
-            capacity_n(room["description"]),
-            own,
-            price_krw(own),
-            F.lit(fv.PER_NIGHT),
+    default_room = _default_room(base_price, availability(described, status_texts))
+    array = F.when(no_rooms(described), F.array(F.struct(*default_room))).otherwise(
+        F.transform(
+            described,
+            lambda room: F.struct(*_room(room["description"], room["prices"], base_price)),
         )
-
-    default_room = _room(
-        F.lit(fv.DEFAULT_ROOM),
-        F.lit(fv.DEFAULT_CAPACITY),
-        F.lit(None).cast("int"),
-        F.when(bookable, price).otherwise(fv.SOLD_OUT),
-        price_krw(price),
-        price_basis(bookable),
-    )
-    array = F.when(no_rooms(described), F.array(default_room)).otherwise(
-        F.transform(described, described_room)
     )
     kept = [name for name in listings.columns if name not in (rooms, base_price, status_texts)]
     return listings.select(
@@ -66,17 +48,27 @@ def explode_rooms(
     ).select(*kept, "room_pos", "room.*", "available")
 
 
-def _room(
-    kind: Column, size: Column, guests: Column, text: Column, price: Column, basis: Column
-) -> Column:
-    return F.struct(
-        kind.alias("room_type"),
-        size.alias("capacity"),
-        guests.alias("capacity_n"),
-        text.alias("price_raw"),
-        price.alias("price_krw"),
-        basis.alias("price_basis"),
-    )
+def _room(description: Column, prices: Column, base_price: str) -> list[Column]:
+    price = F.coalesce(price_digits(prices), F.col(base_price))
+    return [
+        room_type(description).alias("room_type"),
+        capacity(description).alias("capacity"),
+        capacity_n(description).alias("capacity_n"),
+        price.alias("price_raw"),
+        digits_krw(price).alias("price_krw"),
+        F.lit(fv.PER_NIGHT).alias("price_basis"),
+    ]
+
+
+def _default_room(base_price: str, bookable: Column) -> list[Column]:
+    return [
+        F.lit(fv.DEFAULT_ROOM).alias("room_type"),
+        F.lit(fv.DEFAULT_CAPACITY).alias("capacity"),
+        F.lit(None).cast("int").alias("capacity_n"),
+        F.when(bookable, F.col(base_price)).otherwise(fv.SOLD_OUT).alias("price_raw"),
+        digits_krw(base_price).alias("price_krw"),
+        price_basis(bookable).alias("price_basis"),
+    ]
 
 
 def attach_rooms(
@@ -93,18 +85,19 @@ def attach_rooms(
     join only on the side it keeps.
     """
     keys = [on] if isinstance(on, str) else list(on)
+    kept = [name for name in listings.columns if name not in (base_price, status_texts)]
+    extra = [name for name in rooms.columns if name not in (*keys, "description", "prices")]
     described = rooms.filter(F.col("description").isNotNull())
-    room = "struct<description: string, prices: array<string>>"
-    with_rooms = listings.join(described, keys).withColumn(
-        "rooms", F.array(F.struct("description", "prices").cast(room))
+    with_rooms = listings.join(described, keys).select(
+        *kept,
+        *extra,
+        *_room(F.col("description"), F.col("prices"), base_price),
+        F.lit(True).alias("available"),
     )
-    without = listings.join(described.select(*keys).distinct(), keys, "left_anti").withColumn(
-        "rooms", F.lit(None).cast(f"array<{room}>")
+    none = F.array().cast("array<string>")
+    without = listings.join(described.select(*keys).distinct(), keys, "left_anti").select(
+        *kept,
+        *_default_room(base_price, availability(none, status_texts)),
+        availability(none, status_texts, fv.SOLD_OUT_WORDS_STRICT).alias("available"),
     )
-    extra = [name for name in rooms.columns if name not in (*keys, "description", "prices")]
-    exploded = [
-        explode_rooms(part.drop("description", "prices"), "rooms", base_price, status_texts)
-        for part in (with_rooms, without)
-    ]
-    columns = [name for name in exploded[1].columns if name != "room_pos"]
-    return exploded[0].unionByName(exploded[1], allowMissingColumns=True).select(*columns, *extra)
+    return with_rooms.unionByName(without, allowMissingColumns=True)

@@ -12,7 +12,13 @@ from staylens.functions.addresses import absolute_url
 from staylens.functions.prices import price_digits, price_joined, price_krw, price_won
 from staylens.functions.ratings import rating10, rating_x2
 from staylens.functions.text import join_spans, strip
-from staylens.operators.extract import card_pages, extract_cards, list_pages, page_prefix
+from staylens.operators.extract import (
+    card_pages,
+    explode_lists,
+    extract_cards,
+    list_pages,
+    page_prefix,
+)
 from staylens.operators.listings import union_listings
 from staylens.operators.rooms import explode_rooms
 from staylens.sources.durable import durable
@@ -60,10 +66,7 @@ def card_items(captures: DataFrame, spec: CardSpec = TRIVAGO_CARDS) -> DataFrame
 def list_items(captures: DataFrame, spec: ListSpec = YEOGI_LISTS) -> DataFrame:
     """Listings read by position, of the pages before the first empty one of each request."""
     pages = durable(list_pages(_of(captures, spec.source), spec))
-    kept = page_prefix(pages, ["source", "request_id"])
-    return kept.select(
-        *_KEYS, "misaligned", F.posexplode("items").alias("item_pos", "item")
-    ).select(*_KEYS, "item_pos", "item.*", "misaligned")
+    return explode_lists(page_prefix(pages, ["source", "request_id"]))
 
 
 def card_listings(captures: DataFrame, keep_incomplete: bool = False) -> DataFrame:

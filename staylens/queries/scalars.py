@@ -330,14 +330,16 @@ def request_columns(spark: SparkSession, folder: str) -> DataFrame:
         search_url("query", "check_in", "check_out", "adults", "page_no").alias("url"),
         output_key("query", "source").alias("file_name"),
     )
-    back = request_from_url("url")
-    return addressed.select(
-        "*",
-        back["query"].alias("back_query"),
-        back["check_in"].cast("string").alias("back_check_in"),
-        back["check_out"].cast("string").alias("back_check_out"),
-        back["adults"].alias("back_adults"),
-        back["page_no"].alias("back_page_no"),
+    return addressed.withColumn("back", request_from_url("url")).select(
+        "o_orderkey",
+        "adults",
+        "url",
+        "file_name",
+        F.col("back.query").alias("back_query"),
+        F.col("back.check_in").cast("string").alias("back_check_in"),
+        F.col("back.check_out").cast("string").alias("back_check_out"),
+        F.col("back.adults").alias("back_adults"),
+        F.col("back.page_no").alias("back_page_no"),
     )
 
 
