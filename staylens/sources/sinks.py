@@ -11,6 +11,15 @@ from staylens import fixed_values as fv
 
 BYTE_ORDER_MARK = "\ufeff"
 
+#: Quoting of Python's csv module: quotes doubled, blanks kept, nothing for an empty text.
+_CSV = {
+    "header": "true",
+    "escape": '"',
+    "emptyValue": "",
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
+
 
 def _marked(frame: DataFrame) -> DataFrame:
     """The frame with a byte order mark before its first header: the CSV writer adds none."""
@@ -34,14 +43,15 @@ def write_listings_csv(
 
     The rebalance hint gathers the rows of a small query into one file and splits those of a
     hot one. A query without rows gets no file. With ``skip_empty=False`` the listings are those
-    of one query: they go to ``path`` itself, with a header even if there are none.
+    of one query: they go to ``path`` itself, with a header even if there are none. Lines end in
+    LF: with CR LF the writer would also change line breaks inside a text.
     """
     body = [name for name in listings.columns if name not in by]
     if skip_empty:
         writer = _marked(listings.hint("rebalance", *by).select(*body, *by)).write.partitionBy(*by)
     else:
         writer = _marked(listings.hint("rebalance").select(*body)).write
-    writer.mode("overwrite").option("header", True).csv(path)
+    writer.mode("overwrite").options(**_CSV).csv(path)
 
 
 def write_rankings_csv(rankings: DataFrame, path: str) -> None:
@@ -50,4 +60,4 @@ def write_rankings_csv(rankings: DataFrame, path: str) -> None:
         *[F.col(name).alias(header) for name, header in fv.RANKING_HEADERS.items()]
     )
     ordered = headed.repartitionByRange("Source", "Rank").sortWithinPartitions("Source", "Rank")
-    _marked(ordered).write.mode("overwrite").option("header", True).csv(path)
+    _marked(ordered).write.mode("overwrite").options(**_CSV).csv(path)
