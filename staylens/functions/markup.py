@@ -9,8 +9,9 @@ then pass below it into the scan, which they would not with ``mapInPandas``.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
@@ -25,8 +26,6 @@ VOID_TAGS = frozenset(
 )
 #: Tags whose text is not part of the page's text.
 SILENT_TAGS = frozenset("script style template rt rp".split())
-#: Tags whose blank text keeps its length.
-VERBATIM_TAGS = frozenset(("pre", "textarea"))
 ASCII_BLANKS = " \n\t\f\r"
 
 
@@ -62,6 +61,7 @@ class _Page(HTMLParser):
     def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
         self.tags: list[str] = []
+        self.by_tag: dict[str, list[int]] = {}
         self.attrs: list[dict[str, str]] = []
         self.parents: list[int] = []
         self.is_first: list[bool] = []
@@ -71,6 +71,7 @@ class _Page(HTMLParser):
         self._verbatim: list[bool] = []
         self._open: list[int] = []
         self._open_tags: Counter[str] = Counter()
+        self._silent = 0
         self._with_children: set[int] = set()
         self._cut = True
         self.feed(html)
@@ -84,6 +85,7 @@ class _Page(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         node, parent = len(self.tags), self._open[-1] if self._open else -1
         self.tags.append(tag)
+        self.by_tag.setdefault(tag, []).append(node)
         self.attrs.append({name: value or "" for name, value in attrs})
         self.parents.append(parent)
         self.is_first.append(parent not in self._with_children)
@@ -93,6 +95,7 @@ class _Page(HTMLParser):
         if tag not in VOID_TAGS:
             self._open.append(node)
             self._open_tags[tag] += 1
+            self._silent += tag in SILENT_TAGS
 
     def handle_endtag(self, tag: str) -> None:
         self._cut = True
@@ -101,13 +104,13 @@ class _Page(HTMLParser):
                 pass
 
     def handle_data(self, data: str) -> None:
-        if any(self._open_tags[tag] for tag in SILENT_TAGS):
+        if self._silent:
             return
         if self._cut:
             if self._open:
                 self.own_text.setdefault(self._open[-1], len(self.texts))
             self.texts.append(data)
-            self._verbatim.append(any(self._open_tags[tag] for tag in VERBATIM_TAGS))
+            self._verbatim.append(self._open_tags["pre"] + self._open_tags["textarea"] > 0)
             self._cut = False
         else:
             self.texts[-1] += data
@@ -119,13 +122,24 @@ class _Page(HTMLParser):
 
     def _end_innermost(self) -> str:
         node = self._open.pop()
-        self._open_tags[self.tags[node]] -= 1
+        tag = self.tags[node]
+        self._open_tags[tag] -= 1
+        self._silent -= tag in SILENT_TAGS
         self.spans[node][1:] = len(self.texts), len(self.tags)
-        return self.tags[node]
+        return tag
+
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # line numbers are not needed
 
     def find(self, selector: list[_Step], within: int) -> list[int]:
         start, end = (within + 1, self.spans[within][2]) if within >= 0 else (0, len(self.tags))
-        return [node for node in range(start, end) if self._matches(node, selector)]
+        tag = selector[-1].tag
+        if tag in ("", "*"):
+            nodes: Sequence[int] = range(start, end)
+        else:
+            nodes = self.by_tag.get(tag, ())
+            nodes = nodes[bisect_left(nodes, start) : bisect_left(nodes, end)]
+        return [node for node in nodes if self._matches(node, selector)]
 
     def _matches(self, node: int, selector: list[_Step]) -> bool:
         *outer, step = selector

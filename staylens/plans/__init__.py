@@ -7,5 +7,15 @@ from staylens.plans.listings import (
     room_listings,
 )
 from staylens.plans.rankings import rankings
+from staylens.plans.requests import listing_files, requests_from_captures, with_defaults
 
-__all__ = ["all_listings", "card_listings", "list_listings", "rankings", "room_listings"]
+__all__ = [
+    "all_listings",
+    "card_listings",
+    "list_listings",
+    "listing_files",
+    "rankings",
+    "requests_from_captures",
+    "room_listings",
+    "with_defaults",
+]

@@ -6,7 +6,7 @@ supplier's number the platform. Every platform writes the name of a lodging in i
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staylens import fixed_values as fv
@@ -55,30 +55,41 @@ def offers(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("l_linestatus") == "F", fv.PER_NIGHT).alias("price_basis"),
         (F.col("l_returnflag") != "R").alias("available"),
     )
-    parts = table(spark, folder, "part").select("p_partkey", "p_name", "p_size")
+    # What depends on the part alone is computed before the join, once per part.
+    key = F.col("p_partkey").cast("string")
+    rating = F.concat(F.floor(F.col("p_size") / 10), F.lit("."), F.col("p_size") % 10)
+    parts = table(spark, folder, "part").select(
+        "p_partkey",
+        F.concat(F.upper("p_name"), F.lit(" #"), key).alias("name0"),
+        F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), key).alias("name1"),
+        F.concat("p_name", F.lit(" ("), key, F.lit(")")).alias("name2"),
+        *[
+            rating10(rating, F.lit(source)).alias(f"rating{platform}")
+            for platform, source in enumerate(PLATFORMS)
+        ],
+    )
     regions = (
         table(spark, folder, "supplier")
         .join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         .select("s_suppkey", F.col("n_name").alias("location"))
     )
-    joined = lines.join(regions, "s_suppkey").join(parts, "p_partkey")
     platform = (F.col("s_suppkey") % 3).cast("int")
-    key = F.col("p_partkey").cast("string")
-    name = (
-        F.when(platform == 0, F.concat(F.upper("p_name"), F.lit(" #"), key))
-        .when(platform == 1, F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), key))
-        .otherwise(F.concat("p_name", F.lit(" ("), key, F.lit(")")))
-    )
-    rating = F.concat(F.floor(F.col("p_size") / 10), F.lit("."), F.col("p_size") % 10)
-    source = F.get(F.array(*[F.lit(label) for label in PLATFORMS]), platform)
-    return joined.select(
-        source.alias("source"),
-        name.alias("name"),
-        "location",
-        rating10(rating, source).alias("rating10"),
-        "price_krw",
-        "price_basis",
-        "available",
+
+    def of_platform(*choices: Column) -> Column:
+        return F.when(platform == 0, choices[0]).when(platform == 1, choices[1]).otherwise(choices[2])
+
+    return (
+        lines.join(regions, "s_suppkey")
+        .join(parts, "p_partkey")
+        .select(
+            of_platform(*map(F.lit, PLATFORMS)).alias("source"),
+            of_platform(*[F.col(f"name{i}") for i in range(3)]).alias("name"),
+            "location",
+            of_platform(*[F.col(f"rating{i}") for i in range(3)]).alias("rating10"),
+            "price_krw",
+            "price_basis",
+            "available",
+        )
     )
 
 

@@ -10,6 +10,7 @@ from staylens.functions.addresses import absolute_url, request_from_url, url_par
 from staylens.functions.markup import Field, Group
 from staylens.functions.prices import price_digits
 from staylens.operators.extract import (
+    card_pages,
     extract_aligned,
     extract_cards,
     extract_keywords,
@@ -25,6 +26,7 @@ from staylens.operators.ranking import (
 )
 from staylens.operators.rooms import explode_rooms
 from staylens.queries import query, table
+from staylens.sources import durable
 from staylens.specs import CardSpec, KeywordSpec, ListSpec
 
 NAV_TEXT = '<li><a href="[^"]*">([^<]*)</a></li>'
@@ -331,6 +333,36 @@ def page_prefix(spark: SparkSession, folder: str) -> DataFrame:
     return cut_pages(captured, "user_id")
 
 
+# The notice stands in for the next-page button; on some pages its class says it is disabled.
+_PAGED_CARD = CardSpec(
+    source="pages", card="article", fields={"name": Field("h1")}, next_page="div.ad"
+)
+
+
+@query(
+    f"""
+    WITH numbered AS (
+        SELECT {_DOMAIN_SQL} AS source, page_id, html, page_id % 50 = 37 AS is_last FROM pages),
+    stops AS (SELECT source, min(page_id) AS stop FROM numbered WHERE is_last GROUP BY source)
+    SELECT n.source, n.page_id, trim({decoded_sql("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")},
+                                     '{_SPACES}') AS name, is_last
+    FROM numbered n LEFT JOIN stops s ON s.source = n.source
+    WHERE s.stop IS NULL OR n.page_id <= s.stop"""
+)
+def last_page(spark: SparkSession, folder: str) -> DataFrame:
+    """Cards of a request up to the page whose next-page button is disabled."""
+    disabled = F.replace("html", F.lit('<div class="ad">'), F.lit('<div class="ad disabled">'))
+    html = F.when(F.col("page_id") % 50 == 37, disabled).otherwise(F.col("html"))
+    captures = table(spark, folder, "pages").select(
+        domain().alias("source"), "page_id", html.alias("html")
+    )
+    pages = durable(card_pages(captures, _PAGED_CARD, ["source", "page_id"]))
+    kept = cut_pages(pages, "source", "page_id", is_last="is_last")
+    return kept.select("source", "page_id", F.explode("items").alias("card"), "is_last").select(
+        "source", "page_id", "card.name", "is_last"
+    )
+
+
 # Paragraphs as rooms: a page whose paragraphs are turned into divisions is a listing without.
 _ROOM_CARD = CardSpec(
     source="pages",

@@ -13,7 +13,14 @@ import pytest
 from staylens import fixed_values as fv
 from staylens import schemas
 from staylens.operators.listings import compat_view
-from staylens.plans import card_listings, room_listings
+from staylens.plans import (
+    card_listings,
+    list_listings,
+    listing_files,
+    requests_from_captures,
+    room_listings,
+    with_defaults,
+)
 from staylens.sources import (
     durable,
     read_captures,
@@ -35,7 +42,7 @@ def captures(spark, source=fv.YANOLJA, page=None, request="r1"):
 
 
 def csv_files(path):
-    return sorted(Path(path).rglob("*.csv"))
+    return sorted(file for file in Path(path).rglob("*.csv") if file.is_file())
 
 
 def test_captures_are_pruned(spark, tmp_path):
@@ -87,6 +94,25 @@ def test_csv_is_written_as_by_the_csv_module(spark, tmp_path):
     assert file.read_bytes().decode("utf-8") == buffer.getvalue()
 
 
+def test_listings_to_one_folder_per_query(spark, tmp_path):
+    url = fv.YEOGI_SEARCH.format(query="부산+해운대", check_in="2025-08-02", check_out="2025-08-04",
+                                 adults=3, page=1)
+    rows = [(fv.YEOGI, "r1", n, None, url.replace("page=1", f"page={n}"), html.row_page([f"A{n}"]))
+            for n in (1, 2)]
+    frame = spark.createDataFrame(rows, schemas.CAPTURES)
+    requests = requests_from_captures(frame)
+    assert [(r.query, r.check_in, r.adults, r.children) for r in requests.collect()] == [
+        ("부산 해운대", dt.date(2025, 8, 2), 3, 0)]
+    files = listing_files(list_listings(frame), requests)
+    assert {r.file_name for r in files.collect()} == {"부산_해운대_yeogi.csv"}
+    write_listings_csv(files, str(tmp_path / "q"), by=("source", "file_name"))
+    (file,) = csv_files(tmp_path / "q")
+    assert len(file.read_text("utf-8-sig").splitlines()) == 3
+    empty = spark.createDataFrame([("r", "s", None, None)],
+                                  "request_id string, source string, adults int, children int")
+    assert tuple(with_defaults(empty).first())[2:] == (2, 0)
+
+
 def test_empty_listings(spark, tmp_path):
     empty = spark.createDataFrame([], HEADERS)
     write_listings_csv(empty, str(tmp_path / "skipped"))
