@@ -16,8 +16,8 @@ from staylens.sources.durable import durable
 #: Bits an order key keeps for the position within a page. A page is one string of at most
 #: 2^31 bytes, and an element takes more than 16 of them, so positions need at most 27 bits.
 POSITION_BITS = 27
-#: Pages whose items share one block when ranks are counted.
-BLOCK_PAGES = 1024
+#: Bits of an order key that are dropped to get its block: 1024 pages have one block.
+BLOCK_BITS = POSITION_BITS + 10
 
 
 def order_key(page: Column | str, pos: Column | str) -> Column:
@@ -43,29 +43,37 @@ def rank_in_source(
     items: DataFrame,
     keys: Sequence[str],
     order: str,
-    block: int = BLOCK_PAGES << POSITION_BITS,
+    block_bits: int = BLOCK_BITS,
     rank: str = "rank",
 ) -> DataFrame:
     """Rank from 1 by a unique BIGINT order within each key, for keys with any number of rows.
 
     Rows are ranked within blocks of the order, whose size is bounded, and each block starts
     after the rows of the blocks before it. No task sees more than one block of rows; only the
-    row counts of the blocks are summed per key.
+    row counts of the blocks are summed per key. The items are stored first: they are read twice,
+    and finding them again would mean reading the pages again.
     """
-    blocks = items.withColumn("_block", F.floor(F.col(order) / F.lit(block)).cast("bigint"))
+    blocks = durable(items).withColumn("_block", F.shiftright(order, block_bits))
     before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
+    starts = (
         blocks.groupBy(*keys, "_block")
         .agg(F.count("*").alias("_n"))
-        .select(*keys, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+        .select(
+            *keys,
+            "_block",
+            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
+            F.lit(True).alias("_is_start"),
+        )
     )
-    within = W.partitionBy(*keys, "_block").orderBy(order)
-    local = blocks.withColumn("_local", F.row_number().over(within))
-    ranked = local.join(offsets, [*keys, "_block"], "left")
-    before_block = F.coalesce("_before", F.raise_error("a key of the ranking is NULL"))
-    return ranked.select(
-        *items.columns, (before_block + F.col("_local")).cast("int").alias(rank)
+    # The start of a block travels with its rows as one more row, the first of the block. Unlike
+    # a join this needs no second shuffle, and NULL is a key like any other.
+    both = blocks.withColumn("_is_start", F.lit(False)).unionByName(
+        starts, allowMissingColumns=True
     )
+    within = W.partitionBy(*keys, "_block").orderBy(F.col("_is_start").desc(), order)
+    place = F.first("_start").over(within) + F.row_number().over(within) - 1
+    ranked = both.withColumn(rank, place.cast("int")).filter(~F.col("_is_start"))
+    return ranked.select(*items.columns, rank)
 
 
 def rank_by_order(

@@ -9,8 +9,9 @@ import pytest
 import __spark_entry__ as entry_point
 from staylens.functions.markup import Field
 from staylens.operators.extract import extract_aligned, extract_cards, extract_keywords
+from staylens.operators.ranking import distinct_first
 from staylens.plans import room_listings
-from staylens.queries.pages import NAV_KEYWORDS, PAGE_CARD
+from staylens.queries.pages import NAV_KEYWORDS, PAGE_CARD, placed_keywords
 from staylens.specs import KeywordSpec, ListSpec
 
 FOLDER = "/root/testdata/sf0.01"
@@ -65,9 +66,16 @@ def test_page_rankings_need_no_shuffle(spark, pages):
 
 
 def test_dedup_aggregates_by_hash_before_the_shuffle(spark):
-    text = queries(spark, "rank_dedup")
+    placed = placed_keywords(spark, FOLDER)
+    text = plan(distinct_first(placed, ["source", "region"], "place"))
     assert "SortAggregate" not in text
-    assert count(text, "HashAggregate") >= 2
+    assert count(text, "HashAggregate") == 2 and count(text, "Exchange") == 1
+
+
+def test_ranking_over_pages_reads_them_once(spark):
+    text = queries(spark, "rank_dedup")
+    assert "html" not in text  # the ranking runs on the stored keywords
+    assert count(text, "SortMergeJoin") + count(text, "BroadcastHashJoin") == 0
 
 
 def test_topk_is_limited_before_the_shuffle(spark):
