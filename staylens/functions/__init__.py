@@ -6,6 +6,7 @@ from staylens.functions.prices import (
     availability,
     price_basis,
     price_digits,
+    price_first,
     price_joined,
     price_krw,
     price_won,
@@ -37,6 +38,7 @@ __all__ = [
     "output_key",
     "price_basis",
     "price_digits",
+    "price_first",
     "price_joined",
     "price_krw",
     "price_per_night",

@@ -23,6 +23,12 @@ def price_digits(texts: Column | str) -> Column:
     return F.get(F.filter(runs, lambda run: run != ""), F.lit(0))
 
 
+def price_first(texts: Column | str) -> Column:
+    """Numeric price of the first candidate text that has one: typed form of ``price_digits``."""
+    prices = F.transform(as_column(texts), price_krw)
+    return F.get(F.filter(prices, lambda price: price.isNotNull()), F.lit(0))
+
+
 def price_won(text: Column | str) -> Column:
     """First number run with its commas, followed by the won sign; NULL without a run."""
     return F.concat(first_match(text, fv.NUMBER_RUN), F.lit(fv.WON))

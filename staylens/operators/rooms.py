@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from staylens import fixed_values as fv
 from staylens.functions.prices import (
     availability,
-    digits_krw,
     no_rooms,
     price_basis,
     price_digits,
+    price_first,
 )
 from staylens.functions.text import capacity, capacity_n, room_type
 
@@ -21,7 +21,7 @@ from staylens.functions.text import capacity, capacity_n, room_type
 def explode_rooms(
     listings: DataFrame,
     rooms: str = "rooms",
-    base_price: str = "base_price",
+    prices: str = "prices",
     status_texts: str = "status_texts",
 ) -> DataFrame:
     """One row per room of a listing whose rooms are an array; the listing's fields repeat.
@@ -32,41 +32,45 @@ def explode_rooms(
     ``price_krw`` keeps the price found, and ``available`` does not take the word for "sale
     price" as sold out.
     """
+    kept = [name for name in listings.columns if name not in (rooms, prices, status_texts)]
     described = F.filter(rooms, lambda room: room["description"].isNotNull())
-    default_room = _default_room(base_price, availability(described, status_texts))
-    array = F.when(no_rooms(described), F.array(F.struct(*default_room))).otherwise(
-        F.transform(
-            described,
-            lambda room: F.struct(*_room(room["description"], room["prices"], base_price)),
-        )
+    default_room = F.struct(*_default_room(availability("_rooms", status_texts)))
+    array = F.when(no_rooms("_rooms"), F.array(default_room)).otherwise(
+        F.transform("_rooms", lambda room: F.struct(*_room(room["description"], room["prices"])))
     )
-    kept = [name for name in listings.columns if name not in (rooms, base_price, status_texts)]
-    return listings.select(
+    priced = listings.select(
+        *kept, *_base_price(prices), status_texts, described.alias("_rooms")
+    )
+    return priced.select(
         *kept,
-        availability(described, status_texts, fv.SOLD_OUT_WORDS_STRICT).alias("available"),
+        availability("_rooms", status_texts, fv.SOLD_OUT_WORDS_STRICT).alias("available"),
         F.posexplode(array).alias("room_pos", "room"),
     ).select(*kept, "room_pos", "room.*", "available")
 
 
-def _room(description: Column, prices: Column, base_price: str) -> list[Column]:
-    price = F.coalesce(price_digits(prices), F.col(base_price))
+def _base_price(prices: str) -> list[Column]:
+    """The listing's own price as text and as a number."""
+    return [price_digits(prices).alias("_base_text"), price_first(prices).alias("_base_krw")]
+
+
+def _room(description: Column, prices: Column) -> list[Column]:
     return [
         room_type(description).alias("room_type"),
         capacity(description).alias("capacity"),
         capacity_n(description).alias("capacity_n"),
-        price.alias("price_raw"),
-        digits_krw(price).alias("price_krw"),
+        F.coalesce(price_digits(prices), "_base_text").alias("price_raw"),
+        F.coalesce(price_first(prices), "_base_krw").alias("price_krw"),
         F.lit(fv.PER_NIGHT).alias("price_basis"),
     ]
 
 
-def _default_room(base_price: str, bookable: Column) -> list[Column]:
+def _default_room(bookable: Column) -> list[Column]:
     return [
         F.lit(fv.DEFAULT_ROOM).alias("room_type"),
         F.lit(fv.DEFAULT_CAPACITY).alias("capacity"),
         F.lit(None).cast("int").alias("capacity_n"),
-        F.when(bookable, F.col(base_price)).otherwise(fv.SOLD_OUT).alias("price_raw"),
-        digits_krw(base_price).alias("price_krw"),
+        F.when(bookable, F.col("_base_text")).otherwise(fv.SOLD_OUT).alias("price_raw"),
+        F.col("_base_krw").alias("price_krw"),
         price_basis(bookable).alias("price_basis"),
     ]
 
@@ -75,7 +79,7 @@ def attach_rooms(
     listings: DataFrame,
     rooms: DataFrame,
     on: str | Sequence[str],
-    base_price: str = "base_price",
+    prices: str = "prices",
     status_texts: str = "status_texts",
 ) -> DataFrame:
     """Same result for rooms kept in a table, with a ``description`` and ``prices`` per room.
@@ -85,19 +89,20 @@ def attach_rooms(
     join only on the side it keeps.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    kept = [name for name in listings.columns if name not in (base_price, status_texts)]
+    kept = [name for name in listings.columns if name not in (prices, status_texts)]
     extra = [name for name in rooms.columns if name not in (*keys, "description", "prices")]
+    priced = listings.select(*kept, *_base_price(prices), status_texts)
     described = rooms.filter(F.col("description").isNotNull())
-    with_rooms = listings.join(described, keys).select(
+    with_rooms = priced.join(described, keys).select(
         *kept,
         *extra,
-        *_room(F.col("description"), F.col("prices"), base_price),
+        *_room(F.col("description"), F.col("prices")),
         F.lit(True).alias("available"),
     )
     none = F.array().cast("array<string>")
-    without = listings.join(described.select(*keys).distinct(), keys, "left_anti").select(
+    without = priced.join(described.select(*keys).distinct(), keys, "left_anti").select(
         *kept,
-        *_default_room(base_price, availability(none, status_texts)),
+        *_default_room(availability(none, status_texts)),
         availability(none, status_texts, fv.SOLD_OUT_WORDS_STRICT).alias("available"),
     )
     return with_rooms.unionByName(without, allowMissingColumns=True)

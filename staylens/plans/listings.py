@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 from staylens import fixed_values as fv
 from staylens import schemas
 from staylens.functions.addresses import absolute_url
-from staylens.functions.prices import price_digits, price_joined, price_krw, price_won
+from staylens.functions.prices import price_joined, price_krw, price_won
 from staylens.functions.ratings import rating10, rating_x2
 from staylens.functions.text import join_spans, strip
 from staylens.operators.extract import (
@@ -102,7 +102,7 @@ def room_listings(captures: DataFrame) -> DataFrame:
         rating_x2("rating").alias("rating_raw"),
         rating10("rating", "source").alias("rating10"),
         F.nullif("link", F.lit("")).alias("link"),
-        price_digits("prices").alias("base_price"),
+        "prices",
         "rooms",
         "status_texts",
     )

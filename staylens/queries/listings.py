@@ -51,7 +51,7 @@ def rooms_explode(spark: SparkSession, folder: str) -> DataFrame:
     status = F.col("o_orderstatus")
     listings = table(spark, folder, "orders").select(
         "o_orderkey",
-        F.floor("o_totalprice").cast("string").alias("base_price"),
+        F.array(F.floor("o_totalprice").cast("string")).alias("prices"),
         F.array(
             F.when(status == "P", "오늘 매진").when(status == "F", "판매가 10%").otherwise("예약 가능")
         ).alias("status_texts"),

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from staylens import fixed_values as fv
 from staylens.functions.addresses import absolute_url, request_from_url, url_parameter
 from staylens.functions.markup import Field, Group
-from staylens.functions.prices import price_digits
 from staylens.operators.extract import (
     card_pages,
     extract_aligned,
@@ -401,10 +400,8 @@ def rooms_nested(spark: SparkSession, folder: str) -> DataFrame:
     ).otherwise(F.col("html"))
     captures = table(spark, folder, "pages").select("page_id", "url", html.alias("html"))
     found = extract_cards(captures, _ROOM_CARD, ["page_id", "url"])
-    path = F.array(F.regexp_extract("url", "[0-9]+", 0))
-    listings = found.select(
-        "page_id", price_digits(path).alias("base_price"), "rooms", "status_texts"
-    )
+    price = F.array(F.regexp_extract("url", "[0-9]+", 0)).alias("prices")
+    listings = found.select("page_id", price, "rooms", "status_texts")
     return explode_rooms(listings).select(
         "page_id", "room_pos", "room_type", "capacity", "price_raw", "price_krw", "price_basis",
         "available",

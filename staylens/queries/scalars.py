@@ -17,6 +17,7 @@ from staylens.functions import (
     output_key,
     price_basis,
     price_digits,
+    price_first,
     price_joined,
     price_krw as krw,
     price_per_night,
@@ -92,14 +93,19 @@ def price_krw(spark: SparkSession, folder: str) -> DataFrame:
     + f"""
     SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
            CASE WHEN kind = 3 THEN '10' WHEN kind IN (1, 4) THEN replace(amount, ',', '')
-                WHEN l_linenumber % 2 = 0 THEN '77' ELSE '{fv.NO_PRICE}' END AS price
+                WHEN l_linenumber % 2 = 0 THEN '77' ELSE '{fv.NO_PRICE}' END AS price,
+           CASE WHEN kind IN (1, 3, 4) THEN CAST(replace(amount, ',', '') AS BIGINT)
+                WHEN l_linenumber % 2 = 0 THEN 77 END AS price_krw
     FROM texts"""
 )
 def price_candidates(spark: SparkSession, folder: str) -> DataFrame:
     """First candidate text that gives a price; some rows have a second candidate that does."""
     second = F.when(F.col("l_linenumber") % 2 == 0, "77 원").otherwise("문의")
-    price = F.coalesce(price_digits(F.array("text", second)), F.lit(fv.NO_PRICE))
-    return _price_texts(spark, folder).select(*_LINE_KEYS, price.alias("price"))
+    texts = F.array("text", second)
+    price = F.coalesce(price_digits(texts), F.lit(fv.NO_PRICE))
+    return _price_texts(spark, folder).select(
+        *_LINE_KEYS, price.alias("price"), price_first(texts).alias("price_krw")
+    )
 
 
 @query(

@@ -1,12 +1,13 @@
 """Captured pages in, listing and ranking files out."""
 
-from staylens.sources.captures import read_captures, read_sources
+from staylens.sources.captures import read_captures, read_requests, read_sources
 from staylens.sources.durable import durable, shared_folder
 from staylens.sources.sinks import write_listings, write_listings_csv, write_rankings_csv
 
 __all__ = [
     "durable",
     "read_captures",
+    "read_requests",
     "read_sources",
     "shared_folder",
     "write_listings",

@@ -29,6 +29,11 @@ def read_captures(
     return captures
 
 
+def read_requests(spark: SparkSession, path: str) -> DataFrame:
+    """Search requests of a Parquet table."""
+    return spark.read.schema(schemas.REQUESTS).parquet(path)
+
+
 def read_sources(
     spark: SparkSession, paths: Mapping[str, str]
 ) -> tuple[DataFrame, dict[str, str]]:

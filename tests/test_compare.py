@@ -119,10 +119,10 @@ def test_rooms_from_a_table_equal_rooms_from_an_array(spark):
         n = 150 if i == 7 else chance.randrange(0, 4)
         rooms = [(chance.choice([None, "", "4인", "더블"]), chance.choice([[], ["문의"], ["5,000원"]]))
                  for _ in range(n)]
-        nested.append((i, rooms, chance.choice([None, "9000"]), [chance.choice(["매진", "판매가", "가능"])]))
+        nested.append((i, rooms, chance.choice([None, ["9,000원"]]), [chance.choice(["매진", "판매가", "가능"])]))
     frame = spark.createDataFrame(
         nested, "id int, rooms array<struct<description: string, prices: array<string>>>, "
-        "base_price string, status_texts array<string>")
+        "prices array<string>, status_texts array<string>")
     flat = spark.createDataFrame(
         [(i, d, p) for i, rooms, *_ in nested for d, p in rooms], "id int, description string, prices array<string>")
     by_array = explode_rooms(frame).drop("room_pos")

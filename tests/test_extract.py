@@ -130,7 +130,7 @@ def test_rooms(spark):
     rows = room_listings(captures(spark, fv.YANOLJA, page)).orderBy("item_pos", "room_pos").collect()
     assert [(r.item_pos, r.room_pos, r.room_type, r.capacity, r.price_raw, r.price_krw) for r in rows] == [
         (0, 0, "더블 2인", "2인실", "60000", 60000),
-        (0, 1, "패밀리 4인", "4인실", "10", 10),
+        (0, 1, "패밀리 4인", "4인실", "10", 70000),
         (1, 0, "싱글", "1인실", "80000", 80000),
         (2, 0, "기본객실", "2인실", None, None),
         (3, 0, "기본객실", "2인실", "예약마감", None),
