@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from staylens import fixed_values as fv
 from staylens.functions.text import match_key
 from staylens.operators.ranking import rank_by_order
 
@@ -24,6 +25,8 @@ def compare_platforms(
 ) -> DataFrame:
     """Per region and platform: count, lowest, mean and exact median price, mean rating.
 
+    ``mixed_basis`` marks groups whose prices do not all cover the same thing.
+
     Rows are first reduced to one per price, with a partial aggregate, so a region may hold any
     number of listings. What is then ordered per region is its different prices in whole won.
     """
@@ -34,6 +37,7 @@ def compare_platforms(
             F.count("*").alias("n"),
             F.sum("rating10").alias("rating_sum"),
             F.count("rating10").alias("rating_n"),
+            _per_night().alias("n_per_night"),
         )
     )
     group = W.partitionBy(*keys)
@@ -58,21 +62,29 @@ def compare_platforms(
         (
             F.sum("rating_sum").cast("double") / F.nullif(F.sum("rating_n"), F.lit(0))
         ).alias("avg_rating"),
+        _mixed(F.sum("n_per_night"), n).alias("mixed_basis"),
     )
 
 
+def _per_night() -> Column:
+    """Rows priced for one night. A count, as the least and greatest text would need a sort."""
+    return F.count_if(F.col("price_basis") == fv.PER_NIGHT)
+
+
+def _mixed(n_per_night: Column, n: Column) -> Column:
+    return (n_per_night > 0) & (n_per_night < n)
+
+
 def match_lodgings(listings: DataFrame) -> DataFrame:
     """Lowest price per lodging and platform, for lodgings matched by name and region.
 
-    ``basis_low`` and ``basis_high`` differ if the prices cover different things.
+    ``n_per_night`` of the ``n`` offers are known to be priced for one night.
     """
     keyed = comparable(listings).withColumn("match_key", match_key("name"))
-    basis = F.coalesce("price_basis", F.lit(""))
     return keyed.groupBy("match_key", "location", "source").agg(
         F.min("price_krw").alias("price_krw"),
         F.count("*").alias("n"),
-        F.min(basis).alias("basis_low"),
-        F.max(basis).alias("basis_high"),
+        _per_night().alias("n_per_night"),
     )
 
 
@@ -94,9 +106,7 @@ def price_gap(listings: DataFrame) -> DataFrame:
         cheapest["source"].alias("cheapest_source"),
         (F.col("price_krw") - cheapest["price_krw"]).alias("gap"),
         F.count("*").over(lodging).alias("n_platforms"),
-        (F.min("basis_low").over(lodging) != F.max("basis_high").over(lodging)).alias(
-            "mixed_basis"
-        ),
+        _mixed(F.sum("n_per_night").over(lodging), F.sum("n").over(lodging)).alias("mixed_basis"),
     )
 
 
@@ -109,7 +119,7 @@ def pivot_prices(listings: DataFrame, platforms: Sequence[str]) -> DataFrame:
     lowest = [
         F.min(F.when(F.col("source") == name, F.col("price_krw"))).alias(name) for name in platforms
     ]
-    mixed = F.min("basis_low") != F.max("basis_high")
+    mixed = _mixed(F.sum("n_per_night"), F.sum("n"))
     return matched.groupBy("match_key", "location").agg(*lowest, mixed.alias("mixed_basis"))
 
 

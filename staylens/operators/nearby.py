@@ -32,8 +32,7 @@ def near_restaurants(
         listings = listings.filter(match_key("name") == match_key(F.lit(lodging)))
     regions = (
         listings.select(match_key("location").alias("region_key"), "name")
-        .groupBy("region_key", "name")
-        .agg(F.lit(1).alias("_one"))
+        .distinct()
         .groupBy("region_key")
         .agg(F.count("*").alias("n_lodgings"))
     )

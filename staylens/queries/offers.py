@@ -99,7 +99,8 @@ def offers(spark: SparkSession, folder: str) -> DataFrame:
     SELECT location, source, count(*) AS n, min(price_krw) AS min_price,
            CAST(sum(price_krw) AS DOUBLE) / count(*) AS avg_price,
            median(price_krw) AS median_price,
-           CAST(sum(rating_tenths) AS DOUBLE) / 10 / count(*) AS avg_rating
+           CAST(sum(rating_tenths) AS DOUBLE) / 10 / count(*) AS avg_rating,
+           min(basis) <> max(basis) AS mixed_basis
     FROM offers WHERE available GROUP BY location, source"""
 )
 def platform_compare(spark: SparkSession, folder: str) -> DataFrame:
