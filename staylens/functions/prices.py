@@ -45,11 +45,11 @@ def price_joined(texts: Column | str) -> Column:
 def price_krw(text: Column | str) -> Column:
     """Numeric price of any of the text forms: the number before the won sign, else the first."""
     column = as_column(text)
-    first = F.regexp_extract(column, r"(?U)\d[\d,]*", 0)
+    first = first_match(column, r"(?U)\d[\d,]*")
     # The second pattern is tried only where there is a won sign.
     before_sign = first_match(column, r"(?U)(\d[\d,]*)\s*" + fv.WON, 1)
     number = F.when(column.contains(fv.WON), F.coalesce(before_sign, first)).otherwise(first)
-    return digits_krw(F.replace(F.nullif(number, F.lit("")), F.lit(","), F.lit("")))
+    return digits_krw(F.replace(number, F.lit(","), F.lit("")))
 
 
 def digits_krw(digits: Column | str) -> Column:

@@ -27,11 +27,12 @@ def ascii_digits(text: Column | str) -> Column:
 
 
 def first_match(text: Column | str, pattern: str, group: int = 0) -> Column:
-    """First match of a pattern, NULL if there is none (the built-in gives ``''``).
+    """First match of a pattern, NULL if there is none (``regexp_extract`` gives ``''``).
 
     Casts should get NULL, not ``''``: a failing ``try_cast`` raises and catches an error per row.
+    ``nullif`` would evaluate the pattern twice inside a lambda or a condition.
     """
-    return F.nullif(F.regexp_extract(as_column(text), pattern, group), F.lit(""))
+    return F.get(F.regexp_extract_all(as_column(text), F.lit(pattern), F.lit(group)), F.lit(0))
 
 
 def contains_any(text: Column | str, words: Sequence[str]) -> Column:
