@@ -1,14 +1,16 @@
 """Captured pages in, listing and ranking files out."""
 
 from staylens.sources.captures import read_captures, read_requests, read_sources
-from staylens.sources.durable import durable, shared_folder
+from staylens.sources.durable import clear_stored, durable, release, shared_folder
 from staylens.sources.sinks import write_listings, write_listings_csv, write_rankings_csv
 
 __all__ = [
+    "clear_stored",
     "durable",
     "read_captures",
     "read_requests",
     "read_sources",
+    "release",
     "shared_folder",
     "write_listings",
     "write_listings_csv",

@@ -1,38 +1,50 @@
-"""Intermediate tables in the shared folder of a cluster."""
+"""Intermediate tables in a folder that the driver and all executors share."""
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Kept for the life of the process; used only by sessions with a local master.
-_local_folders: list[tempfile.TemporaryDirectory[str]] = []
-
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; on a local master a temporary one if unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    folder = configured or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if not _local_folders:
-        _local_folders.append(tempfile.TemporaryDirectory(prefix="staylens-"))
-    return _local_folders[0].name
-
-
-def durable(frame: DataFrame) -> DataFrame:
+    """This application's folder, below ``spark.checkpoint.dir`` or else below the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/staylens-{spark.sparkContext.applicationId}"
+
+
+def durable(frame: DataFrame, *partition_by: str) -> DataFrame:
     """The frame written to a Parquet table of its own and read back.
 
     Cuts the lineage where a result is needed twice and is costly to compute, or where it would
     not come out the same if a lost executor made Spark compute it again. As a table, unlike a
-    checkpoint, it can be read column by column and its size is known to the optimizer. The owner
-    of the shared folder decides how long such tables stay.
+    checkpoint, it can be read column by column and its size is known to the optimizer.
+    ``release`` removes it when it is no longer needed, ``clear_stored`` whatever is left.
     """
     spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/staylens-{uuid4().hex}"
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    path = f"{shared_folder(spark)}/{uuid4().hex}"
+    writer = frame.write
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+    stored = spark.read.schema(frame.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Deletes the tables behind frames that ``durable`` returned; others are left alone."""
+    for frame in frames:
+        path = getattr(frame, "stored_at", None)
+        if path:
+            _delete(frame.sparkSession, path)
+
+
+def clear_stored(spark: SparkSession) -> None:
+    """Deletes every table that this application has kept in the shared folder."""
+    _delete(spark, shared_folder(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -11,8 +11,14 @@ from staylens.session import session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    spark = session("local[8]", 8, spark__ui__enabled="false", spark__driver__memory="8g")
+def spark(tmp_path_factory):
+    spark = session(
+        "local[8]",
+        8,
+        spark__ui__enabled="false",
+        spark__driver__memory="8g",
+        spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")),
+    )
     spark.sparkContext.setLogLevel("ERROR")
     yield spark
     spark.stop()

@@ -22,9 +22,11 @@ from staylens.plans import (
     with_defaults,
 )
 from staylens.sources import (
+    clear_stored,
     durable,
     read_captures,
     read_sources,
+    release,
     shared_folder,
     write_listings,
     write_listings_csv,
@@ -152,8 +154,15 @@ def test_durable_keeps_rows_and_schema(spark):
     assert sorted(stored.collect()) == sorted(frame.collect()) and stored.schema == frame.schema
 
 
-def test_shared_folder_exists(spark):
-    assert Path(shared_folder(spark).removeprefix("file:")).exists()
+def test_stored_tables_are_shared_and_can_be_removed(spark):
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    assert spark.sparkContext.applicationId in folder.name
+    first, second = durable(spark.range(3)), durable(spark.range(4))
+    assert len(list(folder.iterdir())) >= 2
+    release(first, spark.range(1))
+    assert second.count() == 4
+    clear_stored(spark)
+    assert not folder.exists()
 
 
 def test_arriving_pages(spark, tmp_path):
