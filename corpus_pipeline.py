@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staylens.llm import bpe, decontaminate, lines, queries, toxicity
+from staylens.llm import bpe, decontaminate, lines, queries, simhash, toxicity
 from staylens.sources.durable import durable, release
 
 # The columns of documents, as all stages but the last return them.
@@ -35,6 +35,12 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, unchanged: that with the smallest id."""
+    found = simhash.near_duplicates(docs.select(COLUMNS))
+    return simhash.one_of_each(found).select(COLUMNS)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window stay, unchanged."""
     found = decontaminate.find_passages(docs.select(COLUMNS), queries.table(spark, sf_dir, "benchmark"))
@@ -49,6 +55,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", drop_toxic),
     ("line dedup", drop_lines),
+    ("SimHash near-dedup", drop_near_duplicates),
     ("benchmark decontamination", drop_contaminated),
     ("BPE encoding and decoding", encode),
 ]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import TypeVar
 
 import pyarrow as pa
@@ -16,6 +17,18 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 TEXT_ROWS_PER_BATCH = 1024
 
 Value = TypeVar("Value")
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Sets the rows of an Arrow batch for what runs inside the block."""
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
 
 
 def ship(spark: SparkSession, value: Value) -> Callable[[], Value]:
@@ -49,7 +62,7 @@ def add_columns(
     one gives way to the added one. Rows stay in place: no shuffle.
     """
     spark = frame.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS_PER_BATCH))
+    spark.conf.set(BATCH_ROWS, str(TEXT_ROWS_PER_BATCH))
     new = StructType.fromJson(_parse_datatype_string(added).jsonValue())
     taken = {field.name.lower() for field in new.fields}
     kept = [c for c in (frame.columns if keep is None else keep) if c.lower() not in taken]

@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staylens.llm import bpe, decontaminate, licence_texts, licences, lines, toxicity
+from staylens.llm import (
+    bpe,
+    decontaminate,
+    embeddings,
+    licence_texts,
+    licences,
+    lines,
+    shards,
+    simhash,
+    toxicity,
+)
 
 TOXIC_FROM = 0.7
 # The fold that is never learned from.
@@ -35,6 +45,27 @@ def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.TextCnn:
     return toxicity.train(toxicity.training_sample(table(spark, sf_dir, "documents"), labels))
 
 
+def sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def fingerprinted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
+
+
+def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def decontaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_passages(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"]
@@ -79,6 +110,9 @@ def licensed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_kd_shards": sharded,
+    "op2_simhash": fingerprinted,
+    "op4_embedding_dedup": near_vectors,
     "op5_decontaminate": decontaminated,
     "op6_line_dedup": deduplicated_lines,
     "op7_bpe": encoded,
