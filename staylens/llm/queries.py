@@ -14,6 +14,7 @@ from staylens.llm import (
     licence_texts,
     licences,
     lines,
+    passages,
     shards,
     simhash,
     toxicity,
@@ -62,6 +63,12 @@ def fingerprinted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
+def without_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.drop_passages(table(spark, sf_dir, "documents"), keep=["doc_id"]).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -112,6 +119,7 @@ def licensed(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kd_shards": sharded,
     "op2_simhash": fingerprinted,
+    "op3_passage_dedup": without_passages,
     "op4_embedding_dedup": near_vectors,
     "op5_decontaminate": decontaminated,
     "op6_line_dedup": deduplicated_lines,

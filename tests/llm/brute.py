@@ -76,3 +76,21 @@ def licences(documents, names):
         rows.append((doc, len(found), len(places), min(places, default=None), max(places, default=None),
                      ",".join(sorted(labels))))
     return rows
+
+
+def passages_removed(documents, length=400):
+    """Documents as (id, bytes of all windows) would have it: every window looked up in all others."""
+    from collections import Counter
+
+    texts = [(doc, (text or "").encode()) for doc, text in documents]
+    seen = Counter(hash(t[i : i + length]) for _, t in texts for i in range(len(t) - length + 1))
+    rows = []
+    for doc, t in texts:
+        gone = bytearray(len(t))
+        for i in range(len(t) - length + 1):
+            if seen[hash(t[i : i + length])] > 1:
+                gone[i : i + length] = b"\1" * length
+        runs = len(re.findall(rb"\x01+", bytes(gone)))
+        rest = bytes(b for b, g in zip(t, gone, strict=True) if not g)
+        rows.append((doc, len(t), sum(gone), runs, sha(rest)))
+    return rows
