@@ -15,6 +15,7 @@ from staylens.llm import (
     licences,
     lines,
     passages,
+    secrets,
     shards,
     simhash,
     toxicity,
@@ -98,6 +99,17 @@ def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), byte_vocabulary(), keep=["doc_id"])
 
 
+def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of at least four letters of ``benchmark``."""
+    runs = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))
+    return table(spark, sf_dir, "benchmark").select(F.explode(runs).alias("word")).distinct()
+
+
+def secret_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.scan_secrets(documents, dictionary(spark, sf_dir), F.coalesce(fold() != HELD_OUT, F.lit(True)))
+
+
 def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity_model(spark, sf_dir)
     scored = toxicity.score_texts(table(spark, sf_dir, "documents"), model, keep=["doc_id", "lang"])
@@ -124,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": decontaminated,
     "op6_line_dedup": deduplicated_lines,
     "op7_bpe": encoded,
+    "op8_secrets": secret_findings,
     "op9_toxicity": toxic,
     "op10_licences": licensed,
 }

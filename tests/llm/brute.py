@@ -94,3 +94,65 @@ def passages_removed(documents, length=400):
         rest = bytes(b for b, g in zip(t, gone, strict=True) if not g)
         rows.append((doc, len(t), sum(gone), runs, sha(rest)))
     return rows
+
+
+def roots(n, pairs):
+    """Smallest member of each one's component."""
+    root = list(range(n))
+    changed = True
+    while changed:
+        changed = False
+        for i, j in pairs:
+            low = min(root[i], root[j])
+            if root[i] != low or root[j] != low:
+                root[i] = root[j] = low
+                changed = True
+    return root
+
+
+def simhash(text, size=3):
+    import xxhash
+
+    found = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(A_Z))
+    if not found:
+        return 0
+    shingles = [" ".join(found[i : i + size]) for i in range(max(1, len(found) - size + 1))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def near_texts(documents, bits=3):
+    prints = [simhash(text) for _, text in documents]
+    near = [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= bits]
+    root = roots(len(prints), near)
+    least = {}
+    for (doc, _), r in zip(documents, root, strict=True):
+        known = least.setdefault(r, doc)
+        least[r] = known if doc is None else doc if known is None else min(known, doc)
+    return [(doc, f"{p:016x}", least[r]) for (doc, _), p, r in zip(documents, prints, root, strict=True)]
+
+
+def near_vectors(rows, limit=0.9):
+    import math
+
+    def unit(v):
+        if not v or any(x is None or not math.isfinite(x) for x in v) or not any(v):
+            return None
+        big = max(abs(x) for x in v)
+        v = [x / big for x in v]
+        size = math.sqrt(math.fsum(x * x for x in v))
+        return [x / size for x in v]
+
+    units = [None if i is None else unit(v) for i, v in rows]
+    near = [
+        (i, j) for i in range(len(rows)) for j in range(i)
+        if units[i] and units[j] and len(units[i]) == len(units[j])
+        and math.fsum(x * y for x, y in zip(units[i], units[j], strict=True)) >= limit
+    ]
+    root = roots(len(rows), near)
+    links = [sum(i in pair for pair in near) for i in range(len(rows))]
+    least = {}
+    for (vec, _), r in zip(rows, root, strict=True):
+        if vec is not None:
+            least[r] = min(vec, least.get(r, vec))
+    return [(vec, n, least.get(r), least.get(r) == vec) for (vec, _), n, r in zip(rows, links, root, strict=True)]
