@@ -75,13 +75,29 @@ def _mixed(n_per_night: Column, n: Column) -> Column:
     return (n_per_night > 0) & (n_per_night < n)
 
 
-def match_lodgings(listings: DataFrame) -> DataFrame:
+def _lodgings(listings: DataFrame) -> DataFrame:
+    """Comparable listings with ``match_key`` and ``region_key``; those without either match nothing."""
+    keyed = comparable(listings).withColumns(
+        {"match_key": match_key("name"), "region_key": match_key("location")}
+    )
+    return keyed.filter("match_key <> '' AND region_key <> ''")
+
+
+def _spelling() -> Column:
+    """First of a group's spellings of its region. A set of the few there are hashes; a least text would sort."""
+    return F.array_min(F.collect_set("location"))
+
+
+def match_lodgings(listings: DataFrame, stay: Sequence[str] = ()) -> DataFrame:
     """Lowest price per lodging and platform, for lodgings matched by name and region.
 
-    ``n_per_night`` of the ``n`` offers are known to be priced for one night.
+    Names and regions are compared without case, blanks and punctuation; ``location`` is the first
+    of a lodging's spellings. Listings whose name or region is missing or only punctuation match
+    nothing. ``stay`` names further columns that must be equal, such as the dates. ``n_per_night``
+    of the ``n`` offers are known to be priced for one night.
     """
-    keyed = comparable(listings).withColumn("match_key", match_key("name"))
-    return keyed.groupBy("match_key", "location", "source").agg(
+    return _lodgings(listings).groupBy("match_key", "region_key", *stay, "source").agg(
+        _spelling().alias("location"),
         F.min("price_krw").alias("price_krw"),
         F.count("*").alias("n"),
         _per_night().alias("n_per_night"),
@@ -95,12 +111,12 @@ def price_gap(listings: DataFrame) -> DataFrame:
     same price the first by name counts as cheapest. ``mixed_basis`` marks lodgings whose prices
     do not all cover the same thing.
     """
-    lodging = W.partitionBy("match_key", "location")
+    lodging = W.partitionBy("match_key", "region_key")
     matched = match_lodgings(listings)
     cheapest = F.min(F.struct("price_krw", "source")).over(lodging)
     return matched.select(
         "match_key",
-        "location",
+        F.min("location").over(lodging).alias("location"),
         "source",
         "price_krw",
         cheapest["source"].alias("cheapest_source"),
@@ -115,12 +131,14 @@ def pivot_prices(listings: DataFrame, platforms: Sequence[str]) -> DataFrame:
 
     Naming the platforms spares the extra job that finds them.
     """
-    matched = match_lodgings(listings)
     lowest = [
         F.min(F.when(F.col("source") == name, F.col("price_krw"))).alias(name) for name in platforms
     ]
-    mixed = _mixed(F.sum("n_per_night"), F.sum("n"))
-    return matched.groupBy("match_key", "location").agg(*lowest, mixed.alias("mixed_basis"))
+    mixed = _mixed(_per_night(), F.count("*"))
+    grouped = _lodgings(listings).groupBy("match_key", "region_key")
+    return grouped.agg(_spelling().alias("location"), *lowest, mixed.alias("mixed_basis")).drop(
+        "region_key"
+    )
 
 
 def value_score(

@@ -13,19 +13,17 @@ from staylens import fixed_values as fv
 from staylens.functions.text import as_column
 from staylens.sources.durable import durable
 
-#: Bits an order key keeps for the position within a page. A page is one string of at most
-#: 2^31 bytes, and an element takes more than 16 of them, so positions need at most 27 bits.
-POSITION_BITS = 27
-#: Bits of an order key that are dropped to get its block: 1024 pages have one block.
-BLOCK_BITS = POSITION_BITS + 10
+#: What an order key multiplies page numbers by; positions in a page are array places, so smaller.
+PAGE_STEP = 10**10
 
 
 def order_key(page: Column | str, pos: Column | str) -> Column:
-    """Page number and position as one BIGINT, which aggregates by hash where a struct would sort."""
-    page, pos = as_column(page).cast("bigint"), as_column(pos).cast("bigint")
-    fits = page.between(0, 2 ** (63 - POSITION_BITS) - 1) & pos.between(0, 2**POSITION_BITS - 1)
-    packed = F.shiftleft(page, POSITION_BITS).bitwiseOR(pos)
-    return F.when(fits, packed).otherwise(F.raise_error("page or position out of range"))
+    """Page number and position as one decimal, for pages of any sign and size.
+
+    A decimal minimum aggregates by hash, where that of a struct would sort.
+    """
+    page, pos = as_column(page).cast("decimal(20,0)"), as_column(pos).cast("decimal(11,0)")
+    return (page * F.lit(PAGE_STEP).cast("decimal(11,0)") + pos).cast("decimal(38,0)")
 
 
 def distinct_first(
@@ -39,43 +37,6 @@ def distinct_first(
     return items.groupBy(*keys).agg(F.min(order).alias(first))
 
 
-def rank_in_source(
-    items: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    block_bits: int = BLOCK_BITS,
-    rank: str = "rank",
-) -> DataFrame:
-    """Rank from 1 by a unique BIGINT order within each key, for keys with any number of rows.
-
-    Rows are ranked within blocks of the order, whose size is bounded, and each block starts
-    after the rows of the blocks before it. No task sees more than one block of rows; only the
-    row counts of the blocks are summed per key. The items are stored first: they are read twice,
-    and finding them again would mean reading the pages again.
-    """
-    blocks = durable(items).withColumn("_block", F.shiftright(order, block_bits))
-    before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    starts = (
-        blocks.groupBy(*keys, "_block")
-        .agg(F.count("*").alias("_n"))
-        .select(
-            *keys,
-            "_block",
-            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
-            F.lit(True).alias("_is_start"),
-        )
-    )
-    # The start of a block travels with its rows as one more row, the first of the block. Unlike
-    # a join this needs no second shuffle, and NULL is a key like any other.
-    both = blocks.withColumn("_is_start", F.lit(False)).unionByName(
-        starts, allowMissingColumns=True
-    )
-    within = W.partitionBy(*keys, "_block").orderBy(F.col("_is_start").desc(), order)
-    place = F.first("_start").over(within) + F.row_number().over(within) - 1
-    ranked = both.withColumn(rank, place.cast("int")).filter(~F.col("_is_start"))
-    return ranked.select(*items.columns, rank)
-
-
 def rank_by_order(
     items: DataFrame, keys: Sequence[str], order: Sequence[Column], rank: str = "rank"
 ) -> DataFrame:
@@ -117,14 +78,17 @@ def union_sources(frames: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(lambda left, right: left.unionByName(right), tagged)
 
 
-def source_report(sources: Iterable[str], rankings: DataFrame) -> DataFrame:
-    """One row per source, also for a source without items, which is reported as such."""
-    spark = rankings.sparkSession
+def source_report(items: DataFrame, sources: Iterable[str] = ()) -> DataFrame:
+    """Rows per source, also for the named ``sources`` without any, which are reported as such."""
+    spark = items.sparkSession
     names = spark.createDataFrame([(name,) for name in sources], "source string")
-    counts = rankings.groupBy("source").agg(F.count("*").alias("n"))
-    n = F.coalesce("n", F.lit(0))
-    return names.join(counts, "source", "left").select(
-        "source", n.alias("n"), F.when(n > 0, "ok").otherwise(fv.NO_DATA).alias("status")
+    # A named source is one more row that does not count: one aggregate, no join.
+    every = items.select("source", F.lit(1).alias("_one")).unionByName(
+        names.withColumn("_one", F.lit(0))
+    )
+    n = F.sum("_one")
+    return every.groupBy("source").agg(
+        n.alias("n"), F.when(n > 0, "ok").otherwise(fv.NO_DATA).alias("status")
     )
 
 

@@ -25,5 +25,5 @@ def rankings(captures: DataFrame, specs: Sequence[KeywordSpec] = ALL_KEYWORDS) -
         for spec in specs
     }
     return union_sources(frames).select(
-        "source", *keys, (F.col("pos") + 1).alias("rank"), "region"
+        "source", *keys, (F.col("pos") + 1).cast("bigint").alias("rank"), "region"
     )

@@ -19,9 +19,8 @@ from staylens.operators.ranking import (
     counts_by,
     distinct_first,
     order_key,
-    rank_in_source,
+    rank_by_order,
     source_report as report_sources,
-    union_sources,
 )
 from staylens.operators.rooms import explode_rooms
 from staylens.queries import query, table
@@ -51,8 +50,7 @@ _KEYWORDS_SQL = f"""
         SELECT page_id, source, trim(raw, '{_SPACES}') AS region, pos
         FROM items WHERE trim(raw, '{_SPACES}') <> '')"""
 _DEDUP_SQL = """
-    SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY page_id, pos) AS INTEGER)
-               AS rank, region
+    SELECT source, row_number() OVER (PARTITION BY source ORDER BY page_id, pos) AS rank, region
     FROM (SELECT * FROM keywords
           QUALIFY row_number() OVER (PARTITION BY source, region ORDER BY page_id, pos) = 1)"""
 _UNION_SQL = f"""{_KEYWORDS_SQL},
@@ -60,9 +58,8 @@ _UNION_SQL = f"""{_KEYWORDS_SQL},
     ranked AS (
         SELECT source, rank, region FROM deduped WHERE source = '{DEDUPED}'
         UNION ALL
-        SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY page_id, pos)
-                            AS INTEGER), region
-        FROM keywords WHERE source IN {RAW})"""
+        SELECT source, row_number() OVER (PARTITION BY source ORDER BY page_id, pos), region
+        FROM keywords WHERE source <> '{DEDUPED}')"""
 
 
 def decoded_sql(text: str) -> str:
@@ -90,7 +87,7 @@ def placed_keywords(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _ranked(frame: DataFrame, order: str) -> DataFrame:
-    return rank_in_source(frame, ["source"], order).select("source", "rank", "region")
+    return rank_by_order(frame, ["source"], [F.col(order)]).select("source", "rank", "region")
 
 
 @query(_KEYWORDS_SQL + _DEDUP_SQL)
@@ -103,14 +100,13 @@ def rank_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     _KEYWORDS_SQL
     + """
-    SELECT source, page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) AS INTEGER)
-               AS rank, region
+    SELECT source, page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank, region
     FROM keywords"""
 )
 def rank_raw(spark: SparkSession, folder: str) -> DataFrame:
     """Ranking of the keywords of each page, repeats included."""
     return keywords(spark, folder).select(
-        "source", "page_id", (F.col("pos") + 1).alias("rank"), "region"
+        "source", "page_id", (F.col("pos") + 1).cast("bigint").alias("rank"), "region"
     )
 
 
@@ -118,7 +114,7 @@ def rank_raw(spark: SparkSession, folder: str) -> DataFrame:
     _KEYWORDS_SQL
     + """,
     firsts AS (SELECT page_id, region, min(pos) AS pos FROM keywords GROUP BY ALL)
-    SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) AS INTEGER) AS rank,
+    SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank,
            region
     FROM firsts"""
 )
@@ -126,22 +122,20 @@ def rank_selector(spark: SparkSession, folder: str) -> DataFrame:
     """Ranking of each page's distinct keywords, found by selector."""
     spec = KeywordSpec("pages", "nav li > a", distinct=True)
     found = extract_keywords(table(spark, folder, "pages"), spec, ["page_id"])
-    return found.select("page_id", (F.col("pos") + 1).alias("rank"), "region")
+    return found.select("page_id", (F.col("pos") + 1).cast("bigint").alias("rank"), "region")
 
 
 def _union(spark: SparkSession, folder: str) -> DataFrame:
-    placed = placed_keywords(spark, folder)
-    frames = {
-        name: placed.filter(F.col("source") == name).drop("source") for name in DOMAINS
-    }
-    frames[DEDUPED] = distinct_first(frames[DEDUPED], ["region"], "place", first="place")
-    return _ranked(union_sources(frames), "place")
+    """Keywords of every source: of the deduplicated one the first of each, of others all."""
+    place = F.when(F.col("source") == DEDUPED, None).otherwise(F.col("place"))
+    kept = placed_keywords(spark, folder).withColumn("_each", place)
+    return distinct_first(kept, ["source", "region", "_each"], "place", first="place").drop("_each")
 
 
 @query(_UNION_SQL + "SELECT source, rank, region FROM ranked")
 def rank_union(spark: SparkSession, folder: str) -> DataFrame:
-    """One ranking table of three sources, of which one is deduplicated."""
-    return _union(spark, folder)
+    """One ranking table of all sources, of which one is deduplicated."""
+    return _ranked(_union(spark, folder), "place")
 
 
 @query(
@@ -149,13 +143,13 @@ def rank_union(spark: SparkSession, folder: str) -> DataFrame:
     + f"""
     SELECT s.source, count(r.rank) AS n,
            CASE WHEN count(r.rank) > 0 THEN 'ok' ELSE '{fv.NO_DATA}' END AS status
-    FROM (SELECT unnest({[*DOMAINS, WITHOUT_PAGES]}) AS source) s
+    FROM (SELECT source FROM keywords UNION SELECT unnest({[*DOMAINS, WITHOUT_PAGES]})) s
     LEFT JOIN ranked r ON r.source = s.source
     GROUP BY s.source"""
 )
 def source_report(spark: SparkSession, folder: str) -> DataFrame:
     """Items per source, a source without any included."""
-    return report_sources([*DOMAINS, WITHOUT_PAGES], _union(spark, folder))
+    return report_sources(_union(spark, folder), [*DOMAINS, WITHOUT_PAGES])
 
 
 # One card per page: the body, which holds the heading, the notice and the nav links. Every page

@@ -20,7 +20,7 @@ LISTINGS = (
     "available boolean, link string"
 )
 
-RANKINGS = "source string, rank int, region string"
+RANKINGS = "source string, rank bigint, region string"
 
 PLACES = "place_id string, name string, cuisine string, region string"
 

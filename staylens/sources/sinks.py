@@ -28,9 +28,9 @@ def _marked(frame: DataFrame) -> DataFrame:
 
 
 def write_listings(listings: DataFrame, path: str) -> None:
-    """Typed listings as Parquet, one folder per source."""
+    """Typed listings as Parquet, one folder per source; folders of other sources stay."""
     rebalanced = listings.hint("rebalance", "source")
-    rebalanced.write.mode("overwrite").partitionBy("source").parquet(path)
+    rebalanced.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("source").parquet(path)
 
 
 def write_listings_csv(
@@ -42,13 +42,17 @@ def write_listings_csv(
     """Listings as UTF-8 CSV with byte order mark and header, one folder per value of ``by``.
 
     The rebalance hint gathers the rows of a small query into one file and splits those of a
-    hot one. A query without rows gets no file. With ``skip_empty=False`` the listings are those
+    hot one. Only the folders of the queries in ``listings`` are overwritten: files of other queries
+    stay, and no rows overwrite nothing. With ``skip_empty=False`` the listings are those
     of one query: they go to ``path`` itself, with a header even if there are none. Lines end in
     LF: with CR LF the writer would also change line breaks inside a text.
     """
     body = [name for name in listings.columns if name not in by]
     if skip_empty:
+        if not by and listings.isEmpty():
+            return
         writer = _marked(listings.hint("rebalance", *by).select(*body, *by)).write.partitionBy(*by)
+        writer = writer.option("partitionOverwriteMode", "dynamic") if by else writer
     else:
         writer = _marked(listings.hint("rebalance").select(*body)).write
     writer.mode("overwrite").options(**_CSV).csv(path)

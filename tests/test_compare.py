@@ -44,6 +44,21 @@ def test_compare_with_hot_group(spark):
         assert abs(r.avg_rating - statistics.fmean(ratings)) < 1e-9
 
 
+def test_what_matches_as_a_lodging(spark):
+    frame = listings(spark, [
+        (A, "서울 강남", "Inn", None, 90, None, None), (B, "서울강남", "inn!", None, 70, None, None),
+        (A, "서울", None, None, 1, None, None), (B, "서울", None, None, 2, None, None),
+        (A, "서울", "---", None, 1, None, None), (B, "서울", "!!", None, 2, None, None),
+        (A, None, "Inn", None, 1, None, None), (B, None, "Inn", None, 2, None, None),
+    ])
+    gaps = {(r.location, r.source, r.gap, r.n_platforms) for r in compare.price_gap(frame).collect()}
+    assert gaps == {("서울 강남", A, 20, 2), ("서울 강남", B, 0, 2)}
+    (row,) = compare.pivot_prices(frame, [A, B]).collect()
+    assert (row.match_key, row.location, row[A], row[B]) == ("inn", "서울 강남", 90, 70)
+    dated = frame.selectExpr("*", "CASE WHEN source = 'Trivago' THEN 1 ELSE 2 END AS check_in")
+    assert {r.check_in for r in compare.match_lodgings(dated, ["check_in"]).collect()} == {1, 2}
+
+
 def test_gap_and_pivot(spark):
     frame = listings(spark, [
         (A, "서울", "Hotel A", None, 90, None, None),

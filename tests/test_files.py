@@ -124,6 +124,18 @@ def test_empty_listings(spark, tmp_path):
     assert file.read_bytes().decode("utf-8") == "\ufeff숙소명,가격\n"
 
 
+def test_files_of_other_queries_stay(spark, tmp_path):
+    path = str(tmp_path / "all")
+    schema = "source string, query string, name string"
+    first = spark.createDataFrame([("s", "a", "A")], schema)
+    write_listings_csv(first, path)
+    write_listings_csv(spark.createDataFrame([("s", "b", "B")], schema), path)
+    write_listings_csv(first, path)
+    write_listings_csv(spark.createDataFrame([], schema), path)
+    found = {f.parent.name: f.read_text("utf-8-sig") for f in csv_files(tmp_path / "all")}
+    assert found == {"query=a": "name\nA\n", "query=b": "name\nB\n"}
+
+
 def test_compat_listing_file(spark, tmp_path):
     frame = card_listings(captures(spark, fv.TRIVAGO, html.card_page(html.card("A", "서울", "9", None, "1,000"))))
     write_listings_csv(compat_view(frame, link=False), str(tmp_path / "one"), by=(), skip_empty=False)

@@ -6,11 +6,12 @@ import pytest
 from oracle import duckdb_rows, spark_rows
 
 import __spark_entry__ as entry_point
+from staylens.queries import ORACLE_SQL, QUERIES
 
 FOLDER = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, name):
     names, rows = spark_rows(entry_point.queries()[name](spark, FOLDER))
     sql_names, sql_rows = duckdb_rows(entry_point.oracle_sql()[name], FOLDER)
@@ -20,7 +21,9 @@ def test_query_matches_sql(spark, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry_point.queries()) == set(entry_point.oracle_sql())
+    assert set(QUERIES) == set(ORACLE_SQL)
+    assert set(QUERIES) <= set(entry_point.queries())
+    assert set(ORACLE_SQL) <= set(entry_point.oracle_sql())
 
 
 def test_entry(spark):

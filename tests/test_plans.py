@@ -6,11 +6,11 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry_point
 from staylens.functions.markup import Field
 from staylens.operators.extract import extract_aligned, extract_cards, extract_keywords
 from staylens.operators.ranking import distinct_first
 from staylens.plans import room_listings
+from staylens.queries import QUERIES
 from staylens.queries.pages import NAV_KEYWORDS, PAGE_CARD, placed_keywords
 from staylens.specs import KeywordSpec, ListSpec
 
@@ -27,7 +27,7 @@ def count(text, node):
 
 
 def queries(spark, name):
-    return plan(entry_point.queries()[name](spark, FOLDER))
+    return plan(QUERIES[name](spark, FOLDER))
 
 
 @pytest.fixture
@@ -95,10 +95,16 @@ def test_post_filters_reach_the_scan(spark):
     assert "GreaterThanOrEqual(ts," in text and "StringContains(event_type,signup)" in text
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cross_join_and_no_row_python(spark, name):
     text = queries(spark, name)
     assert "CartesianProduct" not in text
     assert "BroadcastNestedLoopJoin" not in text
     assert "BatchEvalPython" not in text
     assert "SortAggregate" not in text
+
+
+def test_rank_union_reads_pages_once_and_pivot_shuffles_once(spark):
+    assert queries(spark, "source_report").count("ReadSchema: struct<url:string,html:string") <= 1
+    pivot = QUERIES["platform_pivot"](spark, FOLDER)
+    assert plan(pivot).count("hashpartitioning(match_key") == 1

@@ -13,7 +13,6 @@ from staylens.operators.ranking import (
     distinct_first,
     order_key,
     rank_by_order,
-    rank_in_source,
     source_report,
     union_sources,
 )
@@ -41,7 +40,7 @@ def test_distinct_ranking(spark, partitions):
     frame = spark.createDataFrame(shuffled, "source string, region string, page int, pos int")
     placed = frame.repartition(partitions).select("source", "region", order_key("page", "pos").alias("k"))
     first = distinct_first(placed, ["source", "region"], "k")
-    ranked = rank_in_source(first, ["source"], "first_pos", block_bits=29)
+    ranked = rank_by_order(first, ["source"], [F.col("first_pos")])
     assert {(r.source, r.region, r["rank"]) for r in ranked.collect()} == expected
 
 
@@ -49,24 +48,29 @@ def test_raw_ranking_spans_blocks(spark):
     rows = keywords(3)
     frame = spark.createDataFrame(rows, "source string, region string, page int, pos int")
     placed = frame.select("source", "page", "pos", order_key("page", "pos").alias("k"))
-    for bits in (0, 27, 62):
-        ranked = rank_in_source(placed, ["source"], "k", block_bits=bits).collect()
-        for source in {r[0] for r in rows}:
-            mine = sorted((r.page, r.pos, r["rank"]) for r in ranked if r.source == source)
-            assert [m[2] for m in mine] == list(range(1, len(mine) + 1))
+    ranked = rank_by_order(placed, ["source"], [F.col("k")]).collect()
+    for source in {r[0] for r in rows}:
+        mine = sorted((r.page, r.pos, r["rank"]) for r in ranked if r.source == source)
+        assert [m[2] for m in mine] == list(range(1, len(mine) + 1))
 
 
 def test_a_null_key_is_ranked_too(spark):
     rows = [(None, 1), (None, 9), ("a", 5), (None, 4)]
     frame = spark.createDataFrame(rows, "source string, k bigint")
-    ranked = rank_in_source(frame, ["source"], "k", block_bits=2).collect()
+    ranked = rank_by_order(frame, ["source"], [F.col("k")]).collect()
     assert {tuple(r) for r in ranked} == {(None, 1, 1), (None, 4, 2), (None, 9, 3), ("a", 5, 1)}
 
 
-def test_order_key_range(spark):
-    frame = spark.createDataFrame([(2**36, 0)], "page bigint, pos bigint")
-    with pytest.raises(Exception, match="out of range"):
-        frame.select(order_key("page", "pos")).collect()
+def test_order_keys_of_any_page_number(spark):
+    pages = [-(2**63), -1, 0, 5000, 10_000, 2**36, 2**40, 2**63 - 1]
+    rows = [("s", page, pos) for page in pages for pos in (0, 1, 2**27, 2**31 - 1)]
+    shuffled = random.Random(3).sample(rows, len(rows))
+    frame = spark.createDataFrame(shuffled, "source string, page bigint, pos int")
+    placed = frame.withColumn("k", order_key("page", "pos"))
+    ranked = rank_by_order(placed, ["source"], [F.col("k")])
+    assert dict(ranked.dtypes)["rank"] == "bigint"
+    found = sorted(ranked.collect(), key=lambda r: r["rank"])
+    assert [(r.page, r.pos) for r in found] == [row[1:] for row in rows]
 
 
 @pytest.mark.parametrize("keys", [[], ["region"]])
@@ -95,7 +99,7 @@ def test_union_and_report(spark):
         for name, words in ((fv.TRIVAGO, ["서울", "부산"]), (fv.YANOLJA, ["서울"]))
     }
     union = union_sources(frames)
-    report = source_report([fv.TRIVAGO, fv.YANOLJA, fv.YEOGI], union)
+    report = source_report(union, [fv.TRIVAGO, fv.YANOLJA, fv.YEOGI])
     assert {tuple(r) for r in report.collect()} == {
         (fv.TRIVAGO, 2, "ok"), (fv.YANOLJA, 1, "ok"), (fv.YEOGI, 0, "데이터 없음")}
     assert counts_by(union, []).first().n == 3
