@@ -20,6 +20,9 @@ from staylens.llm import (
     simhash,
     toxicity,
 )
+from staylens.llm.oracles import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES", "table"]
 
 TOXIC_FROM = 0.7
 # The fold that is never learned from.
@@ -140,5 +143,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": toxic,
     "op10_licences": licensed,
 }
-
-ORACLE_SQL: dict[str, str] = {}
