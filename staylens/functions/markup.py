@@ -269,7 +269,7 @@ def read_markup(html: Column | str, shape: Mapping[str, Field | Group]) -> Colum
     """
     shape = dict(shape)
     arrow = pa.struct([*((n, _arrow_type(p)) for n, p in shape.items()), ("error", pa.string())])
-    fields = ", ".join(f"{name}: {_spark_type(part)}" for name, part in shape.items())
+    types = [*(f"{name}: {_spark_type(part)}" for name, part in shape.items()), "error: string"]
 
     def rows(pages: pa.Array) -> Iterator[dict[str, object] | None]:
         readers = [(name, _reader(part)) for name, part in shape.items()]
@@ -285,7 +285,7 @@ def read_markup(html: Column | str, shape: Mapping[str, Field | Group]) -> Colum
                 continue
             yield {name: _read(page, -1, reader) for name, reader in readers}
 
-    @F.arrow_udf(f"struct<{fields}, error: string>")
+    @F.arrow_udf(f"struct<{', '.join(types)}>")
     def markup(pages: pa.Array) -> pa.Array:
         return pa.array(rows(pages), type=arrow)
 

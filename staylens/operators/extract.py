@@ -64,6 +64,14 @@ def extract_cards(
     return numbered.filter(_complete(F.col("card"), required)).select(*keys, "item_pos", "card.*")
 
 
+def page_errors(captures: DataFrame, keys: Sequence[str] = CAPTURE_KEYS) -> DataFrame:
+    """One row per page that the reader could not read, with what it said: pages other rows lack."""
+    error = read_markup("html", {})["error"]
+    # Exploded where it is made, so the page is read once.
+    said = F.filter(F.array(error), lambda text: text.isNotNull())
+    return captures.select(*keys, F.explode(said).alias("error"))
+
+
 def aligned(lists: dict[str, Column | str]) -> Column:
     """Arrays zipped by position into an array of structs, as long as the shortest of them.
 

@@ -19,12 +19,18 @@ def with_defaults(requests: DataFrame) -> DataFrame:
 
 
 def requests_from_captures(captures: DataFrame) -> DataFrame:
-    """Requests of pages whose address holds them, one row per request."""
+    """Requests of pages whose address holds them, one row per request.
+
+    Where the pages of a request differ, its first page counts (of equal ones the first address).
+    """
     found = captures.select(
-        "request_id", "source", request_from_url("url").alias("request")
-    ).select("request_id", "source", "request.query", "request.check_in", "request.check_out",
-             "request.adults")
-    stated = found.filter(F.col("query").isNotNull()).distinct()
+        "request_id", "source", "page_no", "url", request_from_url("url").alias("request")
+    ).filter(F.col("request.query").isNotNull())
+    first = F.min_by("request", F.struct("page_no", "url")).alias("request")
+    stated = found.groupBy("request_id", "source").agg(first).select(
+        "request_id", "source", "request.query", "request.check_in", "request.check_out",
+        "request.adults",
+    )
     return with_defaults(stated.withColumn("children", F.lit(None).cast("int")))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from staylens import fixed_values as fv
@@ -13,6 +14,7 @@ from staylens.operators.extract import (
     extract_aligned,
     extract_cards,
     extract_keywords,
+    page_errors as find_page_errors,
     page_prefix as cut_pages,
 )
 from staylens.operators.ranking import (
@@ -312,17 +314,31 @@ def page_prefix(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events").select(
         "user_id", F.to_date("ts").alias("day"), "event_type"
     )
-    first, last = (events.select(f("day")).scalar() for f in (F.min, F.max))
-    per_day = events.groupBy("user_id", "day").agg(
-        F.count_if(F.col("event_type") == "view").alias("n")
+    first = events.select(F.min("day")).scalar()
+    per_day = (
+        events.filter(F.col("event_type") == "view")
+        .groupBy("user_id", "day")
+        .agg(F.count("*").alias("n_items"))
+        .select("user_id", (F.datediff("day", first) + 1).alias("page_no"), "n_items")
     )
-    # Days without any event are pages without items.
-    grid = events.select("user_id").distinct().select(
-        "user_id", F.explode(F.sequence(first, last)).alias("day")
+    # Of the days without views only those that end a run of days with views are pages, and the
+    # first day: one row for each gap, however long it is.
+    days = W.partitionBy("user_id").orderBy("page_no")
+    before, after = F.lag("page_no").over(days), F.lead("page_no").over(days)
+    empty = F.lit(0).cast("bigint").alias("n_items")
+    own = F.array(F.struct("page_no", "n_items"))
+    start = F.when(
+        F.col("before").isNull() & (F.col("page_no") > 1),
+        F.array(F.struct(F.lit(1).alias("page_no"), empty)),
+    ).otherwise(F.array())
+    end = F.when(
+        F.coalesce(F.col("after") > F.col("page_no") + 1, F.lit(True)),
+        F.array(F.struct((F.col("page_no") + 1).alias("page_no"), empty)),
+    ).otherwise(F.array())
+    captured = durable(
+        per_day.select("*", before.alias("before"), after.alias("after"))
+        .select("user_id", F.inline(F.concat(own, start, end)))
     )
-    n_items = F.coalesce("n", F.lit(0).cast("bigint")).alias("n_items")
-    page_no = (F.datediff("day", first) + 1).alias("page_no")
-    captured = grid.join(per_day, ["user_id", "day"], "left").select("user_id", page_no, n_items)
     return cut_pages(captured, "user_id")
 
 
@@ -402,6 +418,18 @@ def rooms_nested(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(f"SELECT {_DOMAIN_SQL} AS source, page_id FROM pages WHERE page_id % 9 = 4")
+def page_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages that cannot be read: some are given a section that is not HTML."""
+    html = F.when(F.col("page_id") % 9 == 4, F.concat("html", F.lit("<![broken["))).otherwise(
+        F.col("html")
+    )
+    captures = table(spark, folder, "pages").select(
+        domain().alias("source"), "page_id", html.alias("html")
+    )
+    return find_page_errors(captures, ["source", "page_id"]).select("source", "page_id")
+
+
 @query(_KEYWORDS_SQL + "SELECT source, page_id, count(*) AS n FROM keywords GROUP BY ALL")
 def counts_per_page(spark: SparkSession, folder: str) -> DataFrame:
     """Keywords per page."""

@@ -11,8 +11,9 @@ SETTINGS = {
     # Hot sources and requests are split by the skew-join and rebalance rules.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
-    # Pages are large values: bound the rows one Arrow batch hands to Python.
+    # Pages are large values: bound the rows and bytes one Arrow batch hands to Python.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
     "spark.sql.files.maxPartitionBytes": "128m",
 }
 

@@ -188,3 +188,11 @@ def test_arriving_pages(spark, tmp_path):
     batch = room_listings(read_captures(spark, source)).select(found.columns)
     assert sorted(map(repr, found.collect())) == sorted(map(repr, batch.collect()))
     assert found.count() == 2
+
+
+def test_pages_of_a_request_that_differ_give_one_request(spark):
+    address = "https://www.yeogi.com/domestic-accommodations?keyword=%EC%84%9C%EC%9A%B8&checkIn=2025-01-0{}&checkOut=2025-01-09&personal=2&page={}"
+    rows = [("r", "yeogi", page, address.format(day, page)) for page, day in ((2, 5), (1, 4), (1, 4))]
+    captures = spark.createDataFrame(rows, "request_id string, source string, page_no int, url string")
+    found = requests_from_captures(captures).collect()
+    assert [(r.request_id, str(r.check_in)) for r in found] == [("r", "2025-01-04")]
