@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from staylens.sources.durable import durable, release
 
-# A run of at least twelve letters, digits and signs of encodings, with a digit, not cut out of a longer one.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{12,}"
 # Characters of the text before and after a candidate in which neighbouring words are looked for.
 BEFORE, AFTER = 48, 24
 # Labelled findings of each class that the forest is trained on, at most.
@@ -27,7 +25,31 @@ TREES, DEPTH, SEED = 40, 6, 11
 CREDENTIAL_WORDS = r"(?i)(passw(or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential)"
 OTHER_WORDS = r"(?i)(example|sample|dummy|test|card|phone|isbn|order|commit|sha|checksum|version)"
 # How issuers write their keys.
-ISSUED = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abpr]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35}|sk_live_[0-9A-Za-z]{16,})$"
+ISSUER_KEYS = (
+    r"AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abpr]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35}"
+    r"|sk_live_[0-9A-Za-z]{16,}"
+)
+ISSUED = rf"^({ISSUER_KEYS})$"
+
+# An issuer's key with edges of its own: '/', '-', '_' or '+' may stand beside it.
+_KEY = rf"(?<![A-Za-z0-9])(?:{ISSUER_KEYS})(?![A-Za-z0-9])"
+# What a value that follows a credential's name and an assignment sign ends at.
+_STOP = r"\s\"'`,;&<>(){}\[\]|"
+# Such a name and sign, at most 45 characters; 'Author:' names none. The short test first: it fails fast.
+_NAME = (
+    r"(?<=[=:][ \t]{0,4}[\"']?)"
+    r"(?<=(?i:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|auth(?!or(?!i[sz]))|bearer|credential)"
+    r"[^\s=:]{0,24}[ \t]{0,4}[=:]{1,2}[ \t]{0,4}[\"']?)"
+)
+# An issuer's key; a value of any characters and length behind a credential's name, without what ends a
+# sentence; or a run of at least twelve letters, digits and signs of encodings, with a digit, not cut out of
+# a longer one. A key ends the others, and what follows it in its run (\G) may be a candidate again.
+CANDIDATE = (
+    rf"{_KEY}"
+    rf"|{_NAME}(?![=:]|//)(?:(?!{_KEY}|[.:?]+(?:[{_STOP}]|$))[^{_STOP}])++"
+    r"|(?:(?<![A-Za-z0-9+/_-])|\G)(?=[A-Za-z+/_-]*[0-9])"
+    rf"(?:(?!{_KEY})[A-Za-z0-9+/_-]){{12,}}+"
+)
 
 FEATURES = [
     "length", "transitions", "dictionary", "digits", "upper", "distinct_share", "hex_only", "in_path",
@@ -102,11 +124,15 @@ def rule_label() -> Column:
     """Column: the label of findings that rules decide, else null.
 
     1: written as an issuer writes its keys, or assigned to a name for a credential. 0: digits only,
-    or part of a path or address, or mostly dictionary words.
+    or part of a path or address, or mostly dictionary words. Dictionary words without a digit and whole
+    addresses behind a credential's name ("password: required") may be either and are left to the forest.
     """
-    secret = F.col("candidate").rlike(ISSUED) | (F.col("assigned") + F.col("credential_near") == 2)
+    named = F.col("assigned") + F.col("credential_near") == 2
+    plain = (F.col("digits") == 0) & (F.col("dictionary") > 0.5)
+    open_case = named & (plain | F.col("candidate").contains("://"))
+    issued = F.col("candidate").rlike(ISSUED)
     other = (F.col("digits") == 1) | (F.col("in_path") == 1) | (F.col("dictionary") > 0.5)
-    return F.when(secret, 1.0).when(other, 0.0)
+    return F.when(issued, 1.0).when(open_case, None).when(named, 1.0).when(other, 0.0)
 
 
 def train(labelled: DataFrame) -> RandomForestClassificationModel | None:

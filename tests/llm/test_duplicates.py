@@ -213,6 +213,43 @@ def test_secrets_found_and_false_positives_removed(spark):
     assert none.collect() == []
 
 
+def candidates(spark, text):
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    none = spark.createDataFrame([], "word string")
+    return [r.candidate for r in secrets.findings(frame, none).orderBy("place").collect()]
+
+
+def test_secrets_without_digits_and_beside_signs_are_candidates(spark):
+    key, token = "AKIA" + "ABCDEFGHIJKLMNOP", "ghp_" + "aBcDeFgHiJkL" * 3
+    assert candidates(spark, f"{key} s3/{key}/ key-{key}, id_{token}-x {token}a") == [key, key, key, token]
+    assert candidates(spark, f"see 0123456789abc/{key}/0123456789def {key}-abcdef") == [
+        "0123456789abc/", key, "/0123456789def", key]
+    values = "password=CorrectHorseBattery. \"api_key\": \"QwErTyUiOp\", secret: a.b!c; Token = 'x'"
+    assert candidates(spark, values) == ["CorrectHorseBattery", "QwErTyUiOp", "a.b!c", "x"]
+    assert candidates(spark, f"password=tmp-{key}") == ["tmp-", key]
+    assert candidates(spark, "Author: Somebody, tokens of words and aPlainLongWordOfLetters auth://host") == []
+    long = "Ab1/" * 50_000
+    assert candidates(spark, f"{long} password={long}\U0001f600{long}") == [long, f"{long}\U0001f600{long}"]
+
+
+def test_digitless_and_adjacent_secrets_are_found(spark):
+    rng = random.Random(7)
+    letters = lambda n: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ", k=n))
+    hexes = lambda n: "".join(rng.choices("0123456789abcdef", k=n - 1)) + "7"
+    rows, planted = [], set()
+    for i in range(120):
+        key, other = "AKIA" + letters(16), "AKIA" + letters(16)
+        password = letters(9).title() + letters(9).title()
+        planted |= {key, other, password}
+        rows.append((i, f"words {key} at s3/{other}/ and password={password} then\ncard {rng.randrange(10**15, 10**16)}"
+                        f" see http://a.example.com/{hexes(20)} or /usr/lib/{hexes(14)}/x"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    words = spark.createDataFrame([("words",)], "word string")
+    found = secrets.scan_secrets(frame, words, F.col("doc_id") % 2 == 0).collect()
+    assert len(found) == 120 * 6
+    assert {r.finding_sha256 for r in found if r.is_secret} == {brute.sha(p) for p in planted}
+
+
 def test_secret_queries_use_no_python(spark):
     plan = QUERIES["op8_secrets"](spark, FOLDER)._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas"))
