@@ -17,6 +17,8 @@ from staylens.sources.durable import durable, release
 
 # Characters of the text before and after a candidate in which neighbouring words are looked for.
 BEFORE, AFTER = 48, 24
+# Characters from the start of a candidate to that of the next, at least: a credential's word and a sign.
+SPAN = 4
 # Labelled findings of each class that the forest is trained on, at most.
 FINDINGS_PER_CLASS = 5000
 TREES, DEPTH, SEED = 40, 6, 11
@@ -62,31 +64,52 @@ def _share(value: Column, pattern: str) -> Column:
     return F.lit(1.0) - F.length(rest) / F.length(value)
 
 
+def _attributes(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``doc_id`` and these columns, computed once a row: lambdas would compute inlined ones for each element."""
+    return rows.select("doc_id", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+
+
 def findings(documents: DataFrame, dictionary: DataFrame) -> DataFrame:
     """``doc_id``, ``place`` (from 0), ``candidate`` and the features of each candidate of each text.
 
     ``dictionary`` has ``word`` (lower case, each once). Null and empty texts have no candidates.
     Each row of a repeated text gives its own findings. Patterns run over the whole text.
     """
-    gaps = F.split("text", CANDIDATE, -1)
-    edges = F.transform(gaps, lambda g: F.struct(F.right(g, F.lit(BEFORE)).alias("b"), F.left(g, F.lit(AFTER)).alias("a")))
-    cut = documents.select(
-        "doc_id",
-        F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"),
-        edges.alias("edges"),
+    cut = _attributes(
+        documents,
+        found=F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)),
+        gaps=F.split("text", CANDIDATE, -1),
     ).where(F.size("found") > 0)
-    # Gap i is before candidate i, gap i + 1 after it.
+    # Gap i is before candidate i, gap i + 1 after it. What a context needs of a gap and the candidate behind
+    # it are its ends; texts of any number of candidates take a fixed number of pieces for each.
+    pieces = F.zip_with("gaps", "found", lambda g, f: F.concat(g, F.coalesce(f, F.lit(""))))
+    ends = _attributes(
+        cut,
+        found=F.col("found"),
+        gap_tails=F.transform("gaps", lambda g: F.right(g, F.lit(BEFORE))),
+        tails=F.transform(pieces, lambda p: F.right(p, F.lit(BEFORE))),
+        heads=F.transform(pieces, lambda p: F.left(p, F.lit(AFTER))),
+    )
+
+    def before(_: Column, i: Column) -> Column:
+        n = F.least(i, F.lit(-(-BEFORE // SPAN)))
+        earlier = F.array_join(F.slice("tails", i - n + 1, n), "")
+        return F.right(F.concat(earlier, F.get("gap_tails", i)), F.lit(BEFORE))
+
+    def after(_: Column, i: Column) -> Column:
+        return F.left(F.array_join(F.slice("heads", i + 2, F.lit(1 - -AFTER // SPAN)), ""), F.lit(AFTER))
+
     each = F.arrays_zip(
         F.col("found").alias("candidate"),
-        F.slice("edges", F.lit(1), F.size("found")).alias("before"),
-        F.slice("edges", F.lit(2), F.size("found")).alias("after"),
+        F.transform("found", before).alias("before"),
+        F.transform("found", after).alias("after"),
     )
-    rows = cut.select("doc_id", F.posexplode(each).alias("place", "f")).select(
+    rows = ends.select("doc_id", F.posexplode(each).alias("place", "f")).select(
         "doc_id",
         F.col("place").cast("long").alias("place"),
         F.col("f.candidate").alias("candidate"),
-        F.col("f.before.b").alias("before"),
-        F.col("f.after.a").alias("after"),
+        F.col("f.before").alias("before"),
+        F.col("f.after").alias("after"),
     )
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(
         F.regexp_replace("candidate", "[a-z]+", "l"), "[A-Z]+", "u"), "[0-9]+", "0"), "[+/_-]+", "s")

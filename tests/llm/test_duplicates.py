@@ -250,6 +250,34 @@ def test_digitless_and_adjacent_secrets_are_found(spark):
     assert {r.finding_sha256 for r in found if r.is_secret} == {brute.sha(p) for p in planted}
 
 
+def test_contexts_reach_over_other_candidates(spark):
+    texts = [
+        'oauth2_client_secret=0a1b2c3d4e5f6 then AWS_S3_SECRET_ACCESS_KEY: 1a1b2c3d4e5f6',
+        'client_secret_v2 = "2a1b2c3d4e5f6" and order_2024_0001 3a1b2c3d4e5f6 checksum_sha256',
+        "\U0001f600é " * 30 + "pwd=a pwd=b token:c " * 40 + "0123456789ab " * 30,
+        "pwd=a", "", None,
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = secrets.findings(frame, spark.createDataFrame([], "word string")).orderBy("doc_id", "place").collect()
+    at = dict.fromkeys(range(len(texts)), 0)
+    for r in rows:
+        start = texts[r.doc_id].index(r.candidate, at[r.doc_id])
+        start = start if len(r.candidate) > 1 else next(
+            i for i in range(start, 10**6) if texts[r.doc_id][i] == r.candidate and texts[r.doc_id][i - 1] in "=:")
+        at[r.doc_id] = end = start + len(r.candidate)
+        assert r.before == texts[r.doc_id][max(0, start - 48) : start]
+        assert r.after == texts[r.doc_id][end : end + 24]
+    assert Counter(r.doc_id for r in rows) == {0: 4, 1: 5, 2: 150, 3: 1}
+    named = {r.candidate: r for r in rows}
+    for digit in "012":
+        r = named[f"{digit}a1b2c3d4e5f6"]
+        assert r.assigned == r.credential_near == 1
+    assert named["3a1b2c3d4e5f6"].other_near == 1
+    labels = secrets.findings(frame, spark.createDataFrame([], "word string")).withColumn("label", secrets.rule_label())
+    assert {r.candidate for r in labels.where("label = 1 and doc_id < 2").collect()} == {
+        f"{digit}a1b2c3d4e5f6" for digit in "012"}
+
+
 def test_secret_queries_use_no_python(spark):
     plan = QUERIES["op8_secrets"](spark, FOLDER)._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas"))
