@@ -3,8 +3,8 @@
 The automaton holds every run of words of every notice. Streaming a text through it gives, at each
 word, the longest run ending there that occurs in some notice (the matching statistics). Runs that
 cannot grow are matches; long matches that follow each other in one notice are chained, and a chain
-that covers enough of the notice names its licence. Short names are notices of their own: one ends
-wherever the state, or a state that its suffix links reach, stands for the name.
+that covers enough of the notice names its licence. Short names are in the automaton too, but in no chain:
+one ends wherever the state, or a state that its suffix links reach, stands for the name.
 """
 
 from __future__ import annotations
@@ -47,8 +47,12 @@ class NoticeAutomaton:
         self.places: list[dict[int, int]] = [{}]
         self.labels: list[str] = []
         self.sizes: list[int] = []
-        sequences = [(label, text) for texts in (names, notices) for label, text in texts.items()]
-        for label, text in sequences:
+        for text in names.values():
+            # No places: names count by their exact endings only and enter no chain.
+            state = 0
+            for word in words(text.encode()):
+                state = self._extend(state, self.ids.setdefault(word, len(self.ids)))
+        for label, text in notices.items():
             found = words(text.encode())
             state = 0
             for place, word in enumerate(found):

@@ -242,3 +242,14 @@ def test_a_notice_with_small_changes_is_covered(spark):
     found = {r.doc_id: r for r in licences.scan_licences(frame, licence_texts.NAMES, licence_texts.NOTICES).collect()}
     assert found[1].labels == "bsd" and found[1].score > 0.8
     assert found[2].labels == "" and found[3].labels == ""
+
+
+def test_part_of_a_name_is_no_label():
+    automaton = licences.NoticeAutomaton(licence_texts.NAMES, licence_texts.NOTICES)
+    scan = lambda text: automaton.scan(text.lower().encode().split())
+    for text in ("under the GNU Library General Public License here", "the GNU General Public terms",
+                 "some General Public License of a vendor"):
+        names, shares, score = scan(text)
+        assert names == [] and shares == {} and score < licences.MIN_COVER, text
+    names, _, score = scan("under the GNU General Public License here")
+    assert [label for _, label in names] == ["gpl"] and score == 1.0
