@@ -2,7 +2,7 @@
 
 The automaton holds every run of words of every notice. Streaming a text through it gives, at each
 word, the longest run ending there that occurs in some notice (the matching statistics). Runs that
-cannot grow are matches; long matches that follow each other in one notice are chained, and a chain
+cannot grow at a place of a notice are matches there; long matches that follow each other in one notice are chained, and a chain
 that covers enough of the notice names its licence. Short names are in the automaton too, but in no chain:
 one ends wherever the state, or a state that its suffix links reach, stands for the name.
 """
@@ -43,8 +43,8 @@ class NoticeAutomaton:
         self.next: list[dict[int, int]] = [{}]
         self.link = [-1]
         self.length = [0]
-        # For each state, a place where its runs end in each notice that holds them.
-        self.places: list[dict[int, int]] = [{}]
+        # For each state, all places (notice, end) where its runs end.
+        self.places: list[set[tuple[int, int]]] = [set()]
         self.labels: list[str] = []
         self.sizes: list[int] = []
         for text in names.values():
@@ -57,15 +57,18 @@ class NoticeAutomaton:
             state = 0
             for place, word in enumerate(found):
                 state = self._extend(state, self.ids.setdefault(word, len(self.ids)))
-                self.places[state].setdefault(len(self.labels), place + 1)
+                self.places[state].add((len(self.labels), place + 1))
             self.labels.append(label)
             self.sizes.append(len(found))
         order = sorted(range(1, len(self.length)), key=self.length.__getitem__)
         for state in reversed(order):
-            above = self.places[self.link[state]] if self.link[state] > 0 else None
-            if above is not None:
-                for notice, place in self.places[state].items():
-                    above.setdefault(notice, place)
+            if self.link[state] > 0:
+                self.places[self.link[state]] |= self.places[state]
+        # For each state, every place where a run of MIN_MATCH words of it ends, and the words it may have.
+        self.ends: list[dict[tuple[int, int], int]] = [{} for _ in self.length]
+        for state in order:
+            if self.length[state] >= MIN_MATCH:
+                self.ends[state] = self.ends[self.link[state]] | dict.fromkeys(self.places[state], self.length[state])
         # Names that end where a state is reached, each with the words the match needs.
         self.ending: list[tuple[tuple[int, str], ...]] = [()] * len(self.length)
         own: dict[int, list[tuple[int, str]]] = {}
@@ -106,7 +109,6 @@ class NoticeAutomaton:
     def _split(self, state: int, there: int, word: int) -> int:
         """Parts the shorter runs of a state from its longer ones."""
         copy = self._state(self.length[state] + 1, dict(self.next[there]))
-        self.places[copy] = dict(self.places[there])
         self.link[copy] = self.link[there]
         self.link[there] = copy
         while state >= 0 and self.next[state].get(word) == there:
@@ -118,7 +120,7 @@ class NoticeAutomaton:
         self.next.append(following)
         self.link.append(-1)
         self.length.append(length)
-        self.places.append({})
+        self.places.append(set())
         return len(self.next) - 1
 
     def scan(self, text: list[bytes]) -> tuple[list[tuple[int, str]], dict[str, float], float]:
@@ -129,51 +131,55 @@ class NoticeAutomaton:
         chains: dict[int, list[Chain]] = {}
         cover: dict[str, float] = {}
         state = size = 0
-        for place, word in enumerate(known):
+        # Matches that the words so far end: their places in notices, and their words.
+        open_matches: dict[tuple[int, int], int] = {}
+        for place, word in enumerate([*known, None]):
+            before = size
             if word is None:
-                if size:
-                    if size >= MIN_MATCH:
-                        self._chain(chains, cover, state, place, size)
-                    state = size = 0
-                continue
-            step = follow[state].get(word)
-            if step is None:
-                if size >= MIN_MATCH:
-                    self._chain(chains, cover, state, place, size)
+                state = size = 0
+            else:
+                step = follow[state].get(word)
                 while step is None and state:
                     state = link[state]
+                    size = length[state]
                     step = follow[state].get(word)
-                size = length[state]
-            state, size = step, size + 1
+                state, size = (0, 0) if step is None else (step, size + 1)
+            going_on = {}
+            if size >= MIN_MATCH:
+                going_on = {at: min(n_words, size) for at, n_words in self.ends[state].items()}
+            for (notice, end), n_words in open_matches.items():
+                if (notice, end + 1) not in going_on:
+                    self._chain(chains, cover, notice, end, place, n_words, place - before)
+            open_matches = going_on
             for needed, label in ending[state]:
                 if needed <= size:
                     names.append((place + 1 - needed, label))
-        if size >= MIN_MATCH:
-            self._chain(chains, cover, state, len(known), size)
         shares = {label: share for label, share in cover.items() if share >= MIN_COVER}
         return names, shares, min(1.0, max([*cover.values(), 1.0 if names else 0.0]))
 
     def _chain(self, chains: dict[int, list[Chain]], cover: dict[str, float],
-               state: int, text_end: int, size: int) -> None:
-        """Adds the match of ``size`` words before ``text_end`` to the chains of its notices."""
-        for notice, notice_end in self.places[state].items():
-            best = Chain(text_end - size, text_end, notice_end, size)
-            near = []
-            for chain in chains.get(notice, ()):
-                if chain.text_end + MAX_GAP + size < text_end:
-                    continue  # nothing to come is near it
-                near.append(chain)
-                # New words are those that overlap neither the chain's text nor its notice part.
-                new = min(size, text_end - chain.text_end, notice_end - chain.notice_end)
-                gap = max(text_end - chain.text_end, notice_end - chain.notice_end) - new
-                if 0 < new and gap <= MAX_GAP and chain.covered + new > best.covered:
-                    best = Chain(chain.text_start, text_end, notice_end, chain.covered + new)
-            # Of chains with the same end in the notice, the one that covers most will do.
-            near = [c for c in near if c.notice_end != notice_end or c.covered > best.covered]
-            chains[notice] = [*near, best]
-            label, share = self.labels[notice], best.covered / self.sizes[notice]
-            if share > cover.get(label, 0.0):
-                cover[label] = share
+               notice: int, notice_end: int, text_end: int, size: int, longest_start: int) -> None:
+        """Adds the match of ``size`` words before ``text_end`` to the chains of its notice.
+
+        No match to come starts before ``longest_start``.
+        """
+        best = Chain(text_end - size, text_end, notice_end, size)
+        near = []
+        for chain in chains.get(notice, ()):
+            if chain.text_end + MAX_GAP < longest_start:
+                continue  # nothing to come is near it
+            near.append(chain)
+            # New words are those that overlap neither the chain's text nor its notice part.
+            new = min(size, text_end - chain.text_end, notice_end - chain.notice_end)
+            gap = max(text_end - chain.text_end, notice_end - chain.notice_end) - new
+            if 0 < new and gap <= MAX_GAP and chain.covered + new > best.covered:
+                best = Chain(chain.text_start, text_end, notice_end, chain.covered + new)
+        # Of chains with the same end in the notice, the one that covers most will do.
+        near = [c for c in near if c.notice_end != notice_end or c.covered > best.covered]
+        chains[notice] = [*near, best]
+        label, share = self.labels[notice], best.covered / self.sizes[notice]
+        if share > cover.get(label, 0.0):
+            cover[label] = share
 
 
 def scan_licences(

@@ -253,3 +253,36 @@ def test_part_of_a_name_is_no_label():
         assert names == [] and shares == {} and score < licences.MIN_COVER, text
     names, _, score = scan("under the GNU General Public License here")
     assert [label for _, label in names] == ["gpl"] and score == 1.0
+
+
+def test_matches_are_chained_at_every_place_of_every_notice():
+    one = "a b c d " + " ".join(f"m{i}" for i in range(14)) + " a b c d n1 n2 n3 n4"
+    notices = {"one": one, "two": "p q r s t u v w", "three": "x q r s t u v y z k"}
+    automaton = licences.NoticeAutomaton({}, notices)
+    scan = lambda text: automaton.scan(text.encode().split())[1]
+    # The second place of a run; the part of a match that another notice holds.
+    tail = " ".join(f"m{i}" for i in range(4, 14)) + " changed a b c d other n1 n2 n3 n4"
+    assert scan(tail) == {"one": 18 / 26}
+    assert scan("p q r s t u v w") == {"two": 1.0, "three": 0.6}
+
+
+def test_every_maximal_match_against_every_pair_of_places(monkeypatch):
+    rng = random.Random(10)
+    text = lambda n: [rng.choice("abc") for _ in range(n)]
+    notices = [text(12) for _ in range(4)]
+    automaton = licences.NoticeAutomaton({"x": "a b a c"}, {str(i): " ".join(n) for i, n in enumerate(notices)})
+    seen = set()
+    monkeypatch.setattr(automaton, "_chain", lambda *args: seen.add(args[2:6]))
+    for _ in range(100):
+        found, expected = text(rng.randint(0, 40)), set()
+        seen.clear()
+        automaton.scan([w.encode() for w in found])
+        for k, notice in enumerate(notices):
+            for e in range(1, len(notice) + 1):
+                for t in range(1, len(found) + 1):
+                    size = 0
+                    while size < min(e, t) and notice[e - 1 - size] == found[t - 1 - size]:
+                        size += 1
+                    if size >= licences.MIN_MATCH and (e == len(notice) or t == len(found) or notice[e] != found[t]):
+                        expected.add((k, e, t, size))
+        assert seen == expected
