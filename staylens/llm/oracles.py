@@ -6,6 +6,7 @@ from string import ascii_lowercase, ascii_uppercase
 
 from staylens.llm.decontaminate import WINDOW_WORDS
 from staylens.llm.embeddings import LIMIT
+from staylens.llm.lexical import TOP
 from staylens.llm.lines import MIN_DOCUMENTS, MIN_KEY_CHARS
 
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -109,8 +110,42 @@ SELECT
 FROM embeddings e JOIN roots r ON e.vec_id = r.node LEFT JOIN counted c ON e.vec_id = c.node
 """
 
+def _terms(text: str) -> str:
+    return rf"regexp_extract_all({_lowered(text)}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+RANKED = f"""
+WITH doc_terms AS (
+    SELECT doc_id, {_terms("text")} AS found FROM documents
+), sized AS (
+    SELECT doc_id, CAST(len(found) AS BIGINT) AS n FROM doc_terms WHERE len(found) > 0
+), whole AS (
+    SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM sized
+), item_terms AS (
+    SELECT item_id, unnest(list_distinct({_terms("text")})) AS term FROM benchmark
+), counted AS (
+    SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(found) AS term FROM doc_terms)
+    WHERE term IN (SELECT term FROM item_terms) GROUP BY doc_id, term
+), weighed AS (
+    SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+    FROM counted, whole GROUP BY term, docs
+), normed AS (
+    SELECT doc_id, 100 - 90 + (90 * n * docs) // words AS m FROM sized, whole
+), scored AS (
+    SELECT i.item_id, c.doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+    FROM item_terms i JOIN counted c ON i.term = c.term JOIN weighed g ON g.term = c.term
+    JOIN normed n ON n.doc_id = c.doc_id
+    GROUP BY i.item_id, c.doc_id
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0
+) WHERE rank <= {TOP}
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op4_embedding_dedup": VECTORS,
     "op5_decontaminate": PASSAGES,
     "op6_line_dedup": LINES,
+    "op11_lexical": RANKED,
 }

@@ -11,14 +11,17 @@ from staylens.llm import (
     bpe,
     decontaminate,
     embeddings,
+    lexical,
     licence_texts,
     licences,
     lines,
+    mixing,
     passages,
     secrets,
     shards,
     simhash,
     toxicity,
+    whitening,
 )
 from staylens.llm.oracles import ORACLE_SQL
 
@@ -131,6 +134,22 @@ def licensed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ranked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), keep=["vec_id"])
+    # Beyond a long the exact sum has no place in the column: null.
+    deviation = F.col("deviation").try_cast("long")
+    return whitening.by_component(found, ["vec_id"]).withColumn("deviation", deviation)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kd_shards": sharded,
     "op2_simhash": fingerprinted,
@@ -142,4 +161,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": secret_findings,
     "op9_toxicity": toxic,
     "op10_licences": licensed,
+    "op11_lexical": ranked_documents,
+    "op12_mixing": mixed,
+    "op13_whitening": whitened,
 }

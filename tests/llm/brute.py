@@ -156,3 +156,60 @@ def near_vectors(rows, limit=0.9):
         if vec is not None:
             least[r] = min(vec, least.get(r, vec))
     return [(vec, n, least.get(r), least.get(r) == vec) for (vec, _), n, r in zip(rows, links, root, strict=True)]
+
+
+def ranked(documents, items, top=10):
+    """Rows (item, rank, document, score): every document scored for every item."""
+    import math
+    from collections import Counter
+
+    held = [(doc, Counter(words(text))) for doc, text in documents]
+    held = [(doc, terms) for doc, terms in held if terms]
+    n_docs, total = len(held), sum(sum(t.values()) for _, t in held)
+    df = Counter(term for _, terms in held for term in terms)
+    rows = []
+    for item, text in items:
+        found = []
+        for doc, terms in held:
+            m = 100 - 90 + (90 * sum(terms.values()) * n_docs) // total
+            score = sum(
+                math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1)))
+                * ((1000000000 * terms[t]) // (1000 * terms[t] + 8 * m))
+                for t in set(words(text)) if t in terms
+            )
+            if score > 0:
+                found.append((-score, doc is None, doc or 0))
+        rows += [(item, i, None if null else doc, -score) for i, (score, null, doc) in enumerate(sorted(found)[:top], 1)]
+    return rows
+
+
+def mix_targets(sizes, weights=(1, 2, 3), cap=3):
+    """Targets by source as fractions: one source is capped at a time, the fullest first."""
+    from fractions import Fraction
+
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    total, full = Fraction(sum(sizes.values())), set()
+    while True:
+        open_sources = [s for s in order if s not in full]
+        rest = total - sum(cap * sizes[s] for s in full)
+        share = {s: rest * weight[s] / sum(weight[o] for o in open_sources) for s in open_sources}
+        above = [s for s in open_sources if share[s] > cap * sizes[s]]
+        if not above:
+            return share | {s: Fraction(cap * sizes[s]) for s in full}
+        full.add(max(above, key=lambda s: Fraction(share[s], max(1, sizes[s])) if sizes[s] else Fraction(10**30)))
+
+
+def tilts(sizes, target, cap=3):
+    """Rates min(cap, exp(l * size)) whose words meet the target, by bisection."""
+    import math
+
+    rate = lambda l, s: min(float(cap), math.exp(min(l * s, 50.0)))
+    low, high = -1000.0, 1000.0
+    for _ in range(300):
+        middle = (low + high) / 2
+        if math.fsum(s * rate(middle, s) for s in sizes) < target:
+            low = middle
+        else:
+            high = middle
+    return {s: rate(low, s) for s in sizes}
