@@ -48,6 +48,14 @@ def ship(spark: SparkSession, value: Value) -> Callable[[], Value]:
     return get
 
 
+def unused(frame: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of the frame has it."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def add_columns(
     frame: DataFrame,
     inputs: list[str],

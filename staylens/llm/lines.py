@@ -1,7 +1,7 @@
 """Lines repeated over documents, found with levelled sorted runs of line hashes.
 
-Batches of documents come one after the other. Each batch's line hashes are merge-joined with the
-runs, which are tables bucketed and sorted by hash; hashes that no run has are new and enter with
+Batches of documents come one after the other. Each batch's line hashes are merge-anti-joined with
+the runs, which are tables bucketed and sorted by hash; hashes that no run has are new and enter with
 the document that keeps the line, others enter as counts to add. Runs of a level are compacted into
 one of the next level when there are enough of them.
 """
@@ -9,7 +9,6 @@ one of the next level when there are enough of them.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from decimal import Decimal
 from uuid import uuid4
 
 import pyarrow as pa
@@ -17,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staylens.llm.frames import BATCH_ROWS, TEXT_ROWS_PER_BATCH, add_columns
+from staylens.llm.frames import BATCH_ROWS, TEXT_ROWS_PER_BATCH, add_columns, unused
 from staylens.llm.words import LOWER_ASCII, byte_texts
 from staylens.sources.durable import durable, release
 
@@ -78,19 +77,31 @@ class LineRuns:
         self._per_level = per_level
         self._buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self._levels: list[list[str]] = []
+        self._written: set[str] = set()
 
     def add(self, batch: DataFrame) -> None:
-        """Merges a batch (``key``, ``n_docs``, ``keeper``, a key once) with the runs and adds it."""
-        known = F.lit(False)
-        for i, run in enumerate(self._runs()):
-            seen = self._spark.table(run).select("key", F.lit(True).alias(f"_seen_{i}"))
-            batch = batch.join(seen, "key", "left")
-            known = known | F.col(f"_seen_{i}").isNotNull()
-        keeper = F.when(~known, F.col("keeper")).alias("keeper")
-        self._push(0, batch.select("key", "n_docs", keeper))
+        """Adds a batch (``key``, ``n_docs``, ``keeper``, a key once) as a run of its own.
+
+        It is written in the runs' buckets and order first, so the joins that find what is new in it
+        shuffle nothing.
+        """
+        incoming = self._write(batch)
+        try:
+            if not self._runs():
+                self._push(0, incoming)
+                incoming = None
+                return
+            rows = self._spark.table(incoming)
+            fresh = self.unseen(rows)
+            again = rows.join(fresh.select("key"), "key", "left_anti")
+            counts = again.select("key", "n_docs", F.lit(None).cast("long").alias("keeper"))
+            self._push(0, self._write(fresh.unionByName(counts)))
+        finally:
+            if incoming:
+                self._drop([incoming])
 
     def unseen(self, batch: DataFrame) -> DataFrame:
-        """Rows of a batch whose key is in no run."""
+        """Rows of a batch whose key is in no run: one merge-anti-join for each run."""
         for run in self._runs():
             batch = batch.join(self._spark.table(run).select("key"), "key", "left_anti")
         return batch
@@ -103,27 +114,32 @@ class LineRuns:
         return _merged(runs)
 
     def drop(self) -> None:
-        for run in self._runs():
-            self._spark.sql(f"DROP TABLE IF EXISTS {run}")
+        """Removes all runs, also those that a failed step has left."""
+        self._drop(list(self._written))
         self._levels = []
 
     def _runs(self) -> list[str]:
         return [run for level in self._levels for run in level]
 
-    def _push(self, level: int, rows: DataFrame) -> None:
+    def _push(self, level: int, run: str) -> None:
         if level == len(self._levels):
             self._levels.append([])
-        self._levels[level].append(self._write(rows))
+        self._levels[level].append(run)
         if len(self._levels[level]) == self._per_level:
             runs = self._levels[level]
-            merged = _merged([self._spark.table(run) for run in runs])
+            compacted = self._write(_merged([self._spark.table(r) for r in runs]))
             self._levels[level] = []
-            self._push(level + 1, merged)
-            for run in runs:
-                self._spark.sql(f"DROP TABLE IF EXISTS {run}")
+            self._push(level + 1, compacted)
+            self._drop(runs)
+
+    def _drop(self, runs: list[str]) -> None:
+        for run in runs:
+            self._spark.sql(f"DROP TABLE IF EXISTS {run}")
+            self._written.discard(run)
 
     def _write(self, rows: DataFrame) -> str:
         name = f"staylens_run_{uuid4().hex}"
+        self._written.add(name)
         rows.repartition(self._buckets, "key").write.bucketBy(self._buckets, "key").sortBy("key").format(
             "parquet"
         ).saveAsTable(name)
@@ -152,30 +168,33 @@ def repeated_lines(
 
     Batches go from the largest ids to the smallest, so the batch that brings a hash first also
     holds the largest document that has it. Rows of one id are one document; rows without an id
-    are together one document, smaller than all others.
+    are together one document, smaller than all others. Ids may be any, however sparse.
     """
     spark = documents.sparkSession
     bounds = documents.agg(F.min("doc_id"), F.max("doc_id")).first()
     low, high = bounds if bounds[0] is not None else (0, 0)
-    below = F.lit(Decimal(high)) - F.col("doc_id").cast("decimal(20,0)")
-    number = F.floor(below / F.lit(Decimal((high - low) // batches + 1))).cast("int")
-    number = F.coalesce(number, F.lit(batches - 1))
+    width = (high - low) // batches + 1
+    # Whole-number division of decimals: a quotient of doubles or decimals may be rounded up.
+    number = F.expr(f"(cast({high}BD as decimal(20,0)) - cast(doc_id as decimal(20,0))) div cast({width}BD as decimal(20,0))")
+    number = F.coalesce(F.least(number, F.lit(batches - 1)), F.lit(batches - 1)).cast("int")
     held = durable(line_hashes(documents, min_chars).withColumn("batch", number), "batch")
     runs = LineRuns(spark)
-    for batch in range(batches):
-        by_document = held.where(F.col("batch") == batch).groupBy("key", "doc_id").agg(F.lit(1))
-        runs.add(
-            by_document.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
+    common = None
+    try:
+        for batch in range(batches):
+            by_document = held.where(F.col("batch") == batch).groupBy("key", "doc_id").agg(F.lit(1))
+            runs.add(
+                by_document.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
+            )
+        common = durable(runs.totals().where(F.col("n_docs") >= min_documents).select("key", "keeper"))
+        return durable(
+            held.select("doc_id", "text_hash", "key").join(common, "key")
+            .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+            .groupBy("doc_id", "text_hash").agg(F.collect_set("key").alias("keys"))
         )
-    common = durable(runs.totals().where(F.col("n_docs") >= min_documents).select("key", "keeper"))
-    runs.drop()
-    dropped = durable(
-        held.select("doc_id", "text_hash", "key").join(common, "key")
-        .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-        .groupBy("doc_id", "text_hash").agg(F.collect_set("key").alias("keys"))
-    )
-    release(held, common)
-    return dropped
+    finally:
+        runs.drop()
+        release(held, common)
 
 
 def drop_repeated_lines(
@@ -191,14 +210,15 @@ def drop_repeated_lines(
     documents stay only in the largest ``doc_id`` that holds them, there with all their repeats.
     Rows are joined to their lines by id and text, so texts of one id don't mix.
     """
+    line_id, line_hash, line_keys = (unused(documents, c) for c in ("_line_id", "_line_hash", "_line_keys"))
     dropped = repeated_lines(documents, min_chars, min_documents, batches).select(
-        F.col("doc_id").alias("_line_id"), F.col("text_hash").alias("_line_hash"), F.col("keys").alias("_line_keys")
+        F.col("doc_id").alias(line_id), F.col("text_hash").alias(line_hash), F.col("keys").alias(line_keys)
     )
     joined = documents.join(
         dropped,
-        F.col("doc_id").eqNullSafe(F.col("_line_id")) & (F.xxhash64("text") == F.col("_line_hash")),
+        F.col("doc_id").eqNullSafe(F.col(line_id)) & (F.xxhash64("text") == F.col(line_hash)),
         "left",
-    ).drop("_line_id", "_line_hash")
+    ).drop(line_id, line_hash)
 
     def make() -> Callable[[pa.RecordBatch], dict[str, pa.Array]]:
         def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
@@ -221,4 +241,4 @@ def drop_repeated_lines(
         return work
 
     added = "kept_text string, n_lines long, n_dropped long"
-    return add_columns(joined, ["text", "_line_keys"], added, make, documents.columns)
+    return add_columns(joined, ["text", line_keys], added, make, documents.columns)
