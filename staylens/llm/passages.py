@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from staylens.llm.frames import BATCH_ROWS, TEXT_ROWS_PER_BATCH, add_columns, batch_rows
+from staylens.llm.frames import BATCH_ROWS, TEXT_ROWS_PER_BATCH, add_columns, batch_rows, unused
 from staylens.llm.words import byte_texts
 from staylens.sources.durable import durable, release
 
@@ -367,8 +367,8 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -
 
 
 def text_id(text: str = "text") -> Column:
-    """Column: 128 bits that name a text; null and empty texts are one."""
-    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    """Column: 128 bits of SHA-256 that name a text; null and empty texts are one."""
+    return F.unhex(F.left(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256), F.lit(32)))
 
 
 def drop_passages(
@@ -385,12 +385,13 @@ def drop_passages(
     named = documents.select(text_id().alias("tid"), "text")
     copies = durable(named.groupBy("tid").agg(F.count("*").alias("n")).where("n > 1").select("tid"))
     windows = repeated_windows(named.where(F.octet_length("text") >= length), length, gram)
+    tid, own_spans, own_copied = (unused(documents, c) for c in ("_tid", "_spans", "_copied"))
     marks = durable(
         windows.join(copies.withColumn("copied", F.lit(True)), "tid", "full")
-        .select(F.col("tid").alias("_tid"), F.col("spans").alias("_spans"), F.col("copied").alias("_copied"))
+        .select(F.col("tid").alias(tid), F.col("spans").alias(own_spans), F.col("copied").alias(own_copied))
     )
     release(copies, windows)
-    joined = documents.join(marks, text_id() == F.col("_tid"), "left")
+    joined = documents.join(marks, text_id() == F.col(tid), "left")
 
     def make() -> Callable[[pa.RecordBatch], dict[str, pa.Array]]:
         def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
@@ -418,7 +419,7 @@ def drop_passages(
         return work
 
     added = "kept binary, n_bytes long, n_removed long, n_spans long"
-    return add_columns(joined, ["text", "_spans", "_copied"], added, make, columns)
+    return add_columns(joined, ["text", own_spans, own_copied], added, make, columns)
 
 
 _KEPT = {"kept": pa.binary(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64()}

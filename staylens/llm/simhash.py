@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staylens.llm.components import components
-from staylens.llm.frames import add_columns, batch_rows
+from staylens.llm.frames import add_columns, batch_rows, unused
 from staylens.llm.words import LOWER_ASCII, byte_texts
 from staylens.sources.durable import durable, release
 
@@ -265,11 +265,12 @@ def near_duplicates(
         .select("fp", "least", F.coalesce("root", "fp").alias("component_root"))
     )
     ids = durable(rooted.groupBy("component_root").agg(F.min("least").alias("component_id")))
+    of_fp = unused(prints, "_fp")
     of_class = durable(
-        rooted.join(ids, "component_root").select(F.col("fp").alias("_fp"), "component_root", "component_id")
+        rooted.join(ids, "component_root").select(F.col("fp").alias(of_fp), "component_root", "component_id")
     )
     release(classes, roots, rooted, ids)
-    return prints.join(of_class, F.col("fp") == F.col("_fp"), "left").select(
+    return prints.join(of_class, F.col("fp") == F.col(of_fp), "left").select(
         *columns, "fp", "component_root", "component_id"
     )
 
