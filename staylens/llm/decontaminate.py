@@ -8,12 +8,13 @@ a pattern allow no jump and name the patterns to compare directly.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staylens.llm.frames import add_columns, ship
+from staylens.llm.frames import add_columns, ship, unused
 from staylens.llm.words import byte_texts, words
 from staylens.sources.durable import durable, release
 
@@ -33,14 +34,16 @@ class LengthTables:
         # Block at the end of a pattern -> the pattern's first word -> patterns and their items.
         self.buckets: dict[tuple[bytes, ...], dict[bytes, dict[tuple[bytes, ...], set[str]]]] = {}
 
-    def add(self, pattern: tuple[bytes, ...], item: str) -> None:
+    def add(self, pattern: tuple[bytes, ...], item: str | None) -> None:
         for end in range(self.block, self.length + 1):
             block = pattern[end - self.block : end]
             jump = self.length - end
             if jump < self.shift.get(block, self.furthest):
                 self.shift[block] = jump
         bucket = self.buckets.setdefault(pattern[-self.block :], {})
-        bucket.setdefault(pattern[0], {}).setdefault(pattern, set()).add(item)
+        names = bucket.setdefault(pattern[0], {}).setdefault(pattern, set())
+        if item is not None:
+            names.add(item)
 
     def search(self, text: list[bytes], spans: list[tuple[int, int]], items: set[str]) -> None:
         length, shift, furthest = self.length, self.shift, self.furthest
@@ -66,7 +69,7 @@ class LengthTables:
 class Tables:
     """The tables of all lengths for one part of a benchmark."""
 
-    def __init__(self, benchmark: list[tuple[str, bytes]], window: int):
+    def __init__(self, benchmark: list[tuple[str | None, bytes]], window: int):
         self.by_length: dict[int, LengthTables] = {}
         for item, text in benchmark:
             found = tuple(words(text))
@@ -109,37 +112,51 @@ def find_passages(
     ``hit_spans`` has the start and end (exclusive, in words) of each maximal run of hit words,
     flat; ``hit_items`` the distinct ids of benchmark items with an occurring window, as strings.
     An item of fewer than ``window`` words, but not none, is one window. Null texts have no words;
-    benchmark rows without an id or without words have no windows; repeated rows change nothing.
+    benchmark rows without words have no windows, those without an id have windows but no name in
+    ``hit_items``; repeated rows change nothing.
 
-    Documents are not shuffled. The benchmark's size is checked first: each part of at most about
-    ``PART_BYTES`` is broadcast and searched in a pass of its own, which writes its findings, so
-    memory does not grow with the benchmark.
+    The benchmark's size is checked first: each part of at most about ``PART_BYTES`` is broadcast and
+    searched in a pass of its own, so memory does not grow with the benchmark. All passes but the last
+    store what they find by the text's digest, never texts; documents are joined with that, and are
+    not shuffled at all if there is one part.
     """
-    items = benchmark.where("item_id is not null and text is not null").select(
+    items = benchmark.where("text is not null").select(
         F.col("item_id").cast("string").alias("item"), "text"
     )
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // PART_BYTES))
     keep = documents.columns if keep is None else keep
     keep = [c for c in keep if c.lower() not in {"n_words", "hit_spans", "hit_items"}]
-    found = documents.withColumns(
-        {"hit_spans": F.array().cast("array<int>"), "hit_items": F.array().cast("array<string>")}
-    )
-    for part in range(parts):
+    spans, names = unused(documents, "_hit_spans"), unused(documents, "_hit_items")
+    none = {spans: F.array().cast("array<int>"), names: F.array().cast("array<string>")}
+
+    def tables(part: int) -> Tables:
         chosen = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part).distinct()
-        tables = Tables([(r["item"], r["text"].encode()) for r in chosen.collect()], window)
-        last = part == parts - 1
-        carried = keep if last else list(dict.fromkeys([*keep, text]))
-        step = _search(found, tables, text, carried)
-        if last:
-            return step
-        stored = durable(step)
-        release(found)
-        found = stored
-    raise AssertionError("unreachable")
-
-
-def _search(found: DataFrame, tables: Tables, text: str, keep: list[str]) -> DataFrame:
+        return Tables([(r["item"], r["text"].encode()) for r in chosen.collect()], window)
+
+    if parts == 1:
+        return _search(documents.withColumns(none), tables(0), text, [spans, names], keep)
+    digest = unused(documents, "_digest")
+    digests = F.unhex(F.sha2(F.col(text), 256))
+    texts = documents.select(digests.alias("digest"), F.col(text).alias("text")).withColumns(none)
+    steps = []
+    for part in range(parts - 1):
+        step = _search(texts, tables(part), "text", [spans, names], ["digest"])
+        steps.append(durable(step.where(F.size("hit_spans") > 0).drop("n_words").dropDuplicates(["digest"])))
+    merged = durable(
+        reduce(DataFrame.unionByName, steps).groupBy(F.col("digest").alias(digest)).agg(
+            F.flatten(F.collect_list("hit_spans")).alias(spans),
+            F.array_distinct(F.flatten(F.collect_list("hit_items"))).alias(names),
+        )
+    )
+    release(*steps)
+    known = documents.join(merged, digests == F.col(digest), "left")
+    known = known.withColumns({c: F.coalesce(c, empty) for c, empty in none.items()})
+    return _search(known, tables(parts - 1), text, [spans, names], keep)
+
+
+def _search(found: DataFrame, tables: Tables, text: str, earlier: list[str], keep: list[str]) -> DataFrame:
+    """Adds the findings of one part to those of the columns ``earlier``."""
     shared = ship(found.sparkSession, tables)
 
     def make() -> Callable[[pa.RecordBatch], dict[str, pa.Array]]:
@@ -162,7 +179,7 @@ def _search(found: DataFrame, tables: Tables, text: str, keep: list[str]) -> Dat
         return work
 
     added = "n_words long, hit_spans array<int>, hit_items array<string>"
-    return add_columns(found, [text, "hit_spans", "hit_items"], added, make, keep)
+    return add_columns(found, [text, *earlier], added, make, keep)
 
 
 def hit_words(spans: str = "hit_spans"):

@@ -67,10 +67,11 @@ def near_pairs(a: np.ndarray, b: np.ndarray, limit: float, stats: dict | None =
 
 
 def vector_classes(vectors: DataFrame) -> DataFrame:
-    """``vector`` (array of double), ``copies`` and ``rep`` for each distinct usable vector.
+    """``rep`` (a number), ``vector`` (array of double), ``copies`` and ``least`` id of each distinct usable vector.
 
-    Vectors that are null, empty, zero or hold null or non-finite components, and those without
-    an id, are left out: they link with nothing.
+    Vectors that are null, empty, zero or hold null or non-finite components are left out: they link
+    with nothing. ``least`` is null where no row of the class has an id. The numbers hold for one
+    evaluation only, so the table is to be stored.
     """
     as_double = F.col("embedding").cast("array<double>")
     usable = F.coalesce(
@@ -78,14 +79,15 @@ def vector_classes(vectors: DataFrame) -> DataFrame:
         & F.exists(as_double, lambda x: x != 0),
         F.lit(False),
     )
-    return vectors.where(usable & F.col("vec_id").isNotNull()).groupBy(as_double.alias("vector")).agg(
-        F.count("*").alias("copies"), F.min("vec_id").alias("rep")
+    classes = vectors.where(usable).groupBy(as_double.alias("vector")).agg(
+        F.count("*").alias("copies"), F.min("vec_id").alias("least")
     )
+    return classes.withColumn("rep", F.monotonically_increasing_id())
 
 
 def _pivots(classes: DataFrame, rows: int) -> np.ndarray:
     wanted = max(1, min(PIVOTS, rows // TILE_ROWS))
-    drawn = classes.orderBy(F.xxhash64("rep"), "rep").limit(wanted).collect()
+    drawn = classes.orderBy(F.xxhash64("vector"), "vector").limit(wanted).collect()
     longest = max((len(r.vector) for r in drawn), default=1)
     pivots = np.zeros((len(drawn), longest))
     for place, row in enumerate(drawn):
@@ -135,7 +137,7 @@ def _links(placed: DataFrame, pivots: np.ndarray, limit: float) -> DataFrame:
     counted = placed.groupBy("dims", "cell").agg(F.count("*").alias("n"))
     tiled = durable(
         placed.join(counted, ["dims", "cell"])
-        .withColumn("tile", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / tile_rows)))
+        .withColumn("tile", F.pmod(F.xxhash64("data"), F.ceil(F.col("n") / tile_rows)))
         .drop("n")
     )
     tiles = tiled.groupBy("dims", "cell", "tile").agg(
@@ -223,8 +225,9 @@ def near_duplicates(vectors: DataFrame, limit: float = LIMIT) -> DataFrame:
 
     Rows with a cosine of at least ``limit`` link; equal vectors are one class, whose copies link
     with each other. Vectors of different length link with nothing of the other length. Unusable
-    vectors (see ``vector_classes``) have no links and are their own component; a null id stays null
-    and is kept. Rows that repeat an id are vectors of their own for ``n_links``.
+    vectors (see ``vector_classes``) have no links and are their own component. Rows without an id link
+    and count like others; ``component_id`` is the smallest id of the component, null if none has one,
+    and then all its rows are kept. Rows that repeat an id are vectors of their own for ``n_links``.
 
     Every pair of tiles in reach is one group of at most two tiles; it returns one count a vector and
     a spanning forest, never its pairs. Only the pivots reach the driver.
@@ -242,19 +245,21 @@ def near_duplicates(vectors: DataFrame, limit: float = LIMIT) -> DataFrame:
             found = spark.createDataFrame([], "node long, other long, weight long")
         roots = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
         sums = found.where("other is null").groupBy("node").agg(F.sum("weight").alias("linked"))
-        of_class = durable(
+        rooted = durable(
             classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
             .join(sums.withColumnRenamed("node", "rep"), "rep", "left")
             .select(
-                "vector",
+                "vector", "least",
                 (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-                F.coalesce("root", "rep").alias("component_id"),
+                F.coalesce("root", "rep").alias("root"),
             )
         )
-        release(classes, found, roots)
+        ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+        of_class = durable(rooted.join(ids, "root").select("vector", "n_links", "component_id"))
+        release(classes, found, roots, rooted)
     own = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
     of_class = of_class.withColumnRenamed("vector", "_vector")
-    joined = own.join(of_class, F.col("vec_id").isNotNull() & (F.col("vector") == F.col("_vector")), "left")
+    joined = own.join(of_class, F.col("vector") == F.col("_vector"), "left")
     component = F.coalesce("component_id", "vec_id")
     return joined.select(
         "vec_id",

@@ -47,7 +47,7 @@ WITH doc_words AS (
     SELECT doc_id, {_words("coalesce(text, '')")} AS found FROM documents
 ), item_words AS (
     SELECT CAST(item_id AS VARCHAR) AS item, {_words("text")} AS found
-    FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+    FROM benchmark WHERE text IS NOT NULL
 ), windows AS (
     SELECT DISTINCT item, size, found[first : first + size - 1] AS pattern
     FROM (
@@ -71,7 +71,7 @@ WITH doc_words AS (
     FROM (SELECT doc_id, unnest(range(pos, pos + size)) AS place FROM occurring) GROUP BY doc_id
 ), items AS (
     SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS item_list
-    FROM (SELECT DISTINCT doc_id, item FROM occurring) GROUP BY doc_id
+    FROM (SELECT DISTINCT doc_id, item FROM occurring WHERE item IS NOT NULL) GROUP BY doc_id
 )
 SELECT
     d.doc_id,
@@ -84,21 +84,23 @@ FROM doc_words d LEFT JOIN hit h ON d.doc_id = h.doc_id LEFT JOIN items i ON d.d
 """
 
 VECTORS = f"""
-WITH RECURSIVE usable AS (
-    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+WITH RECURSIVE numbered AS MATERIALIZED (
+    SELECT row_number() OVER () AS row_no, vec_id, embedding FROM embeddings
+), usable AS (
+    SELECT row_no, CAST(embedding AS DOUBLE[]) AS v FROM numbered
     WHERE embedding IS NOT NULL
       AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
       AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), links AS (
-    SELECT a.vec_id AS node, b.vec_id AS other
-    FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    SELECT a.row_no AS node, b.row_no AS other
+    FROM usable a JOIN usable b ON a.row_no <> b.row_no AND len(a.v) = len(b.v)
     WHERE list_cosine_similarity(a.v, b.v) >= {LIMIT}
 ), reach AS (
-    SELECT vec_id AS node, vec_id AS reached FROM embeddings
+    SELECT row_no AS node, row_no AS reached FROM numbered
     UNION
     SELECT r.node, l.other FROM reach r JOIN links l ON r.reached = l.node
 ), roots AS (
-    SELECT node, min(reached) AS component_id FROM reach GROUP BY node
+    SELECT node, min(n.vec_id) AS component_id FROM reach r JOIN numbered n ON r.reached = n.row_no GROUP BY node
 ), counted AS (
     SELECT node, count(*) AS n_links FROM links GROUP BY node
 )
@@ -106,8 +108,8 @@ SELECT
     e.vec_id,
     coalesce(c.n_links, 0) AS n_links,
     r.component_id,
-    e.vec_id = r.component_id AS kept
-FROM embeddings e JOIN roots r ON e.vec_id = r.node LEFT JOIN counted c ON e.vec_id = c.node
+    e.vec_id IS NOT DISTINCT FROM r.component_id AS kept
+FROM numbered e JOIN roots r ON e.row_no = r.node LEFT JOIN counted c ON e.row_no = c.node
 """
 
 def _terms(text: str) -> str:
