@@ -127,7 +127,11 @@ def findings(documents: DataFrame, dictionary: DataFrame) -> DataFrame:
         F.col("before").rlike(CREDENTIAL_WORDS + r"[^\s]*\s*[=:]?\s*[^\s]*$").cast("double").alias("credential_near"),
         (F.col("before").rlike(OTHER_WORDS) | F.col("after").rlike(OTHER_WORDS)).cast("double").alias("other_near"),
     )
-    return _with_dictionary(described, dictionary)
+    # Stored: the patterns over whole texts run once, however often the rows are read.
+    stored = durable(described)
+    found = durable(_with_dictionary(stored, dictionary))
+    release(stored)
+    return found
 
 
 def _with_dictionary(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -202,7 +206,7 @@ def scan_secrets(
     One row a candidate. Findings of documents for which ``learn_from`` holds and that a rule
     decides are the labelled findings. Secrets themselves are not returned, only their digests.
     """
-    held = durable(findings(documents, dictionary).withColumn("label", rule_label()))
+    held = findings(documents, dictionary).withColumn("label", rule_label())
     model = train(held.where(learn_from & F.col("label").isNotNull()))
     return judge(held, model).select(
         "doc_id",
