@@ -72,7 +72,8 @@ def fingerprinted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def without_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.drop_passages(table(spark, sf_dir, "documents"), keep=["doc_id"]).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+        (F.col("n_removed") > 0).alias("repeats"),
     )
 
 
@@ -121,10 +122,12 @@ def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score_texts(table(spark, sf_dir, "documents"), model, keep=["doc_id", "lang"])
     return scored.select(
         "doc_id",
-        (fold() == HELD_OUT).alias("held_out"),
+        # A row without an id is in no fold that is held out.
+        F.coalesce(fold() == HELD_OUT, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"),
         toxicity.language_threshold(model).alias("lang_threshold"),
+        toxicity.decided(model).alias("predicted_by_lang"),
     )
 
 

@@ -22,11 +22,11 @@ def passages(documents, benchmark, window=10):
     items = defaultdict(set)
     for item, text in benchmark:
         found = words(text)
-        if item is None or not found:
+        if not found:
             continue
         size = min(window, len(found))
         for i in range(len(found) - size + 1):
-            items[tuple(found[i : i + size])].add(str(item))
+            items[tuple(found[i : i + size])] |= {str(item)} - {"None"}
     sizes = sorted({len(k) for k in items})
     rows = []
     for doc, text in documents:
@@ -42,6 +42,14 @@ def passages(documents, benchmark, window=10):
 
 
 def lines(documents, min_chars=20, min_documents=3):
+    return [
+        (doc, n_lines, n_lines - len(kept), sha("\n".join(kept)))
+        for doc, n_lines, kept in kept_lines(documents, min_chars, min_documents)
+    ]
+
+
+def kept_lines(documents, min_chars=20, min_documents=3):
+    """For each document: id, lines before, the lines that stay."""
     def key(line):
         return re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\Z", "", line).translate(A_Z)
 
@@ -59,7 +67,7 @@ def lines(documents, min_chars=20, min_documents=3):
             common = len(k) >= min_chars and len(holders[k]) >= min_documents
             if not common or max(holders[k], key=order) == doc:
                 kept.append(line)
-        rows.append((doc, len(all_lines), len(all_lines) - len(kept), sha("\n".join(kept))))
+        rows.append((doc, len(all_lines), kept))
     return rows
 
 
@@ -143,7 +151,7 @@ def near_vectors(rows, limit=0.9):
         size = math.sqrt(math.fsum(x * x for x in v))
         return [x / size for x in v]
 
-    units = [None if i is None else unit(v) for i, v in rows]
+    units = [unit(v) for _, v in rows]
     near = [
         (i, j) for i in range(len(rows)) for j in range(i)
         if units[i] and units[j] and len(units[i]) == len(units[j])

@@ -172,8 +172,14 @@ def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.1"
     rows = QUERIES["op9_toxicity"](spark, folder)
     labels = table(spark, folder, "labels")
-    held = [r for r in rows.join(labels, "doc_id").collect() if r.held_out]
+    langs = table(spark, folder, "documents").select("doc_id", F.col("lang").alias("lang_of"))
+    held = [r for r in rows.join(labels, "doc_id").join(langs, "doc_id").collect() if r.held_out]
     assert all(r.held_out == (crc32(str(r.doc_id).encode()) % 3 == 1) for r in held)
+    by_lang = [r.predicted_by_lang for r in held if r.toxic]
+    print({lang: (np.mean(own), len(own)) for lang in {r.lang_of for r in held} if (own := [
+        r.predicted_by_lang for r in held if r.toxic and r.lang_of == lang])}, np.mean(by_lang))
+    assert np.mean(by_lang) >= 0.9
+    assert np.mean([r.predicted_by_lang for r in held if not r.toxic]) < 0.02
     right = np.mean([r.predicted == r.toxic for r in held])
     missed = np.mean([r.predicted == 0 for r in held if r.toxic])
     spoiled = np.mean([r.predicted == 1 for r in held if not r.toxic])
