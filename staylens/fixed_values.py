@@ -93,6 +93,10 @@ LISTING_FILE_NAMES = {
     YEOGI: "{query_underscored}_yeogi.csv",
 }
 
+# Platforms whose files have a link column, and those that write a header without rows.
+WITH_LINK = (YANOLJA, YEOGI)
+HEADER_ALWAYS = (YEOGI,)
+
 # Selectors of the card platform.
 TRIVAGO_SELECTORS = {
     "card": 'article[data-testid="item"]',

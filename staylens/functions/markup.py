@@ -13,6 +13,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -55,47 +56,102 @@ class Group:
     fields: Mapping[str, Field | Group]
 
 
+_NOTHING: Mapping[str, str] = {}
+#: A text and the tag behind it, if the tag has only a name and quoted attributes without entities.
+_PLAIN = re.compile(
+    r"""([^<]*)<(?:([a-zA-Z][a-zA-Z0-9-]*)((?:[ \n\t\f\r]+[a-zA-Z][a-zA-Z0-9_:.-]*="[^"<>&]*")*)[ \n\t\f\r]*>"""
+    r"""|/([a-zA-Z][a-zA-Z0-9-]*)[ \n\t\f\r]*>)"""
+)
+_PLAIN_ATTRIBUTE = re.compile(r"""([a-zA-Z][a-zA-Z0-9_:.-]*)="([^"]*)\"""")
+#: Tags whose content is not markup to some parsers.
+_SPECIAL_TAGS = frozenset(
+    "script style textarea title xmp iframe noembed noframes noscript plaintext svg math".split()
+)
+_VERBATIM_TAGS = frozenset(("pre", "textarea"))
+
+
 class _Page(HTMLParser):
-    """Elements of a page in document order, with the ranges of texts and elements below them."""
+    """Elements of a page in document order, with the ranges of texts and elements below them.
 
-    def __init__(self, html: str) -> None:
+    Attributes are kept for the tags in ``named`` alone (``None``: for all).
+    """
+
+    def __init__(self, html: str, named: frozenset[str] | None = None) -> None:
         super().__init__(convert_charrefs=True)
+        self._named = named
         self.tags: list[str] = []
         self.by_tag: dict[str, list[int]] = {}
-        self.attrs: list[dict[str, str]] = []
+        self.attrs: list[Mapping[str, str]] = []
         self.parents: list[int] = []
         self.is_first: list[bool] = []
         self.spans: list[list[int]] = []  # [first text, end of texts, end of elements]
         self.texts: list[str] = []
         self.own_text: dict[int, int] = {}
-        self._verbatim: list[bool] = []
         self._open: list[int] = []
         self._open_tags: Counter[str] = Counter()
-        self._silent = 0
+        self._silent = self._verbatim = 0
         self._with_children: set[int] = set()
         self._cut = True
-        self.feed(html)
+        self._blank: list[int] = []  # texts that may be white space only
+        self._take(html)
         self.close()
         while self._open:
             self._end_innermost()
-        for index, text in enumerate(self.texts):
-            if not text.strip(ASCII_BLANKS) and not self._verbatim[index]:
+        for index in self._blank:
+            text = self.texts[index]
+            if not text.strip(ASCII_BLANKS):
                 self.texts[index] = "\n" if "\n" in text else " "
 
+    def _take(self, html: str) -> None:
+        """Plain tags and the texts before them at once, everything else by the standard parser."""
+        at = 0
+        while at < len(html):
+            found = _PLAIN.match(html, at)
+            tag = found and (found[2] or found[4]).lower()
+            if tag is None or tag in _SPECIAL_TAGS:
+                at = self._take_other(html, at)
+                continue
+            if text := found[1]:
+                self.handle_data(unescape(text) if "&" in text else text)
+            if found[4]:
+                self.handle_endtag(tag)
+            else:
+                kept = found[3] and (self._named is None or tag in self._named)
+                self.handle_starttag(tag, [(n.lower(), v) for n, v in _PLAIN_ATTRIBUTE.findall(found[3])] if kept else ())
+            at = found.end()
+
+    def _take_other(self, html: str, start: int) -> int:
+        """What stands here goes to the standard parser, in growing pieces until nothing is left open."""
+        size, at = 1, start
+        while at < len(html):
+            end = html.find(">", start + size) + 1 or len(html)
+            self.feed(html[at:end])
+            at = end
+            if not self.rawdata and self.cdata_elem is None:
+                break
+            size = 2 * (at - start)
+        return at
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         node, parent = len(self.tags), self._open[-1] if self._open else -1
         self.tags.append(tag)
-        self.by_tag.setdefault(tag, []).append(node)
-        self.attrs.append({name: value or "" for name, value in attrs})
+        nodes = self.by_tag.get(tag)
+        if nodes is None:
+            nodes = self.by_tag[tag] = []
+        nodes.append(node)
+        kept = attrs and (self._named is None or tag in self._named)
+        self.attrs.append({name: value or "" for name, value in attrs} if kept else _NOTHING)
         self.parents.append(parent)
         self.is_first.append(parent not in self._with_children)
-        self.spans.append([len(self.texts), len(self.texts), node + 1])
+        texts = len(self.texts)
+        self.spans.append([texts, texts, node + 1])
         self._with_children.add(parent)
         self._cut = True
         if tag not in VOID_TAGS:
             self._open.append(node)
             self._open_tags[tag] += 1
             self._silent += tag in SILENT_TAGS
+            self._verbatim += tag in _VERBATIM_TAGS
 
     def handle_endtag(self, tag: str) -> None:
         self._cut = True
@@ -109,8 +165,9 @@ class _Page(HTMLParser):
         if self._cut:
             if self._open:
                 self.own_text.setdefault(self._open[-1], len(self.texts))
+            if not self._verbatim and data[:1] in ASCII_BLANKS:
+                self._blank.append(len(self.texts))
             self.texts.append(data)
-            self._verbatim.append(self._open_tags["pre"] + self._open_tags["textarea"] > 0)
             self._cut = False
         else:
             self.texts[-1] += data
@@ -125,6 +182,7 @@ class _Page(HTMLParser):
         tag = self.tags[node]
         self._open_tags[tag] -= 1
         self._silent -= tag in SILENT_TAGS
+        self._verbatim -= tag in _VERBATIM_TAGS
         self.spans[node][1:] = len(self.texts), len(self.tags)
         return tag
 
@@ -224,34 +282,81 @@ def _steps(selector: str) -> list[_Step]:
     return steps
 
 
-Reader = tuple[list[_Step], "Field | list[tuple[str, Reader]]"]
+class _Values:
+    """A field over the pages of a batch: texts end to end and, if it is ``many``, where lists begin."""
 
+    def __init__(self, field: Field) -> None:
+        self.field, self.steps = field, _steps(field.selector)
+        self.values: list[str | None] = []
+        self.starts: list[int | None] = [0]
 
-def _reader(part: Field | Group) -> Reader:
-    """The part with its selectors taken apart, done once per task."""
-    steps = _steps(part.selector)
-    if isinstance(part, Field):
-        return steps, part
-    return steps, [(name, _reader(inner)) for name, inner in part.fields.items()]
+    def add(self, page: _Page, within: int) -> None:
+        field = self.field
+        nodes = page.find(self.steps, within) if self.steps else [within]
+        if field.leaf:
+            following = [*nodes[1:], len(page.tags)]
+            nodes = [n for n, after in zip(nodes, following) if after >= page.spans[n][2]]
+        if field.many:
+            self.values += [page.value(node, field) for node in nodes]
+            self.starts.append(len(self.values))
+        else:
+            self.values.append(page.value(nodes[0], field) if nodes else None)
 
+    def add_null(self) -> None:
+        if self.field.many:
+            self.starts[-1] = None
+            self.starts.append(len(self.values))
+        else:
+            self.values.append(None)
 
-def _read(page: _Page, within: int, reader: Reader) -> object:
-    steps, part = reader
-    nodes = page.find(steps, within) if steps else [within]
-    if isinstance(part, list):
-        return [{name: _read(page, node, inner) for name, inner in part} for node in nodes]
-    if part.leaf:
-        following = [*nodes[1:], len(page.tags)]
-        nodes = [n for n, after in zip(nodes, following) if after >= page.spans[n][2]]
-    if part.many:
-        return [page.value(node, part) for node in nodes]
-    return page.value(nodes[0], part) if nodes else None
+    def array(self) -> pa.Array:
+        texts = pa.array(self.values, pa.string())
+        return pa.ListArray.from_arrays(pa.array(self.starts, pa.int32()), texts) if self.field.many else texts
 
+    def named(self, around: str) -> Iterator[str]:
+        yield from _tags_with_attributes(self.steps)
+        if self.field.attr is not None:
+            yield self.steps[-1].tag if self.steps else around
 
-def _arrow_type(part: Field | Group) -> pa.DataType:
-    if isinstance(part, Group):
-        return pa.list_(pa.struct([(n, _arrow_type(p)) for n, p in part.fields.items()]))
-    return pa.list_(pa.string()) if part.many else pa.string()
+
+class _Structs:
+    """A group over the pages of a batch: its fields' columns and where each page's elements begin."""
+
+    def __init__(self, group: Group) -> None:
+        self.steps = _steps(group.selector)
+        self.parts = {name: _column(part) for name, part in group.fields.items()}
+        self.starts: list[int | None] = [0]
+        self.total = 0
+
+    def add(self, page: _Page, within: int) -> None:
+        nodes = page.find(self.steps, within)
+        for part in self.parts.values():
+            for node in nodes:
+                part.add(page, node)
+        self.total += len(nodes)
+        self.starts.append(self.total)
+
+    def add_null(self) -> None:
+        self.starts[-1] = None
+        self.starts.append(self.total)
+
+    def array(self) -> pa.Array:
+        structs = pa.StructArray.from_arrays([p.array() for p in self.parts.values()], list(self.parts))
+        return pa.ListArray.from_arrays(pa.array(self.starts, pa.int32()), structs)
+
+    def named(self, around: str) -> Iterator[str]:
+        yield from _tags_with_attributes(self.steps)
+        for part in self.parts.values():
+            yield from part.named(self.steps[-1].tag)
+
+
+def _column(part: Field | Group) -> _Values | _Structs:
+    return _Values(part) if isinstance(part, Field) else _Structs(part)
+
+
+def _tags_with_attributes(steps: Sequence[_Step]) -> Iterator[str]:
+    """Tags whose attributes a selector looks at; empty or a star for those of any tag."""
+    return (step.tag for step in steps if step.classes or step.tests)
 
 
 def _spark_type(part: Field | Group) -> str:
@@ -268,25 +373,27 @@ def read_markup(html: Column | str, shape: Mapping[str, Field | Group]) -> Colum
     naming the struct first lets the optimizer add a filter that runs the function a second time.
     """
     shape = dict(shape)
-    arrow = pa.struct([*((n, _arrow_type(p)) for n, p in shape.items()), ("error", pa.string())])
     types = [*(f"{name}: {_spark_type(part)}" for name, part in shape.items()), "error: string"]
 
-    def rows(pages: pa.Array) -> Iterator[dict[str, object] | None]:
-        readers = [(name, _reader(part)) for name, part in shape.items()]
-        for value in pages:
-            html = value.as_py()
-            if html is None:
-                yield None
-                continue
-            try:
-                page = _Page(html)
-            except AssertionError as error:  # raised by the standard parser on broken sections
-                yield {"error": str(error)}
-                continue
-            yield {name: _read(page, -1, reader) for name, reader in readers}
-
     @F.arrow_udf(f"struct<{', '.join(types)}>")
     def markup(pages: pa.Array) -> pa.Array:
-        return pa.array(rows(pages), type=arrow)
+        columns = {name: _column(part) for name, part in shape.items()}
+        tags = {tag for column in columns.values() for tag in column.named("")}
+        named = None if tags & {"", "*"} else frozenset(tags)
+        errors: list[str | None] = []
+        for html in pages.to_pylist():
+            page = None
+            try:
+                page = None if html is None else _Page(html, named)
+                errors.append(None)
+            except AssertionError as error:  # raised by the standard parser on broken sections
+                errors.append(str(error))
+            for column in columns.values():
+                if page is None:
+                    column.add_null()
+                else:
+                    column.add(page, -1)
+        arrays = [*(column.array() for column in columns.values()), pa.array(errors, pa.string())]
+        return pa.StructArray.from_arrays(arrays, [*shape, "error"], mask=pages.is_null())
 
     return markup(as_column(html))

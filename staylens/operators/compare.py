@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from staylens import fixed_values as fv
+from staylens.functions.dates import nights, price_per_night
 from staylens.functions.text import match_key
 from staylens.operators.ranking import rank_by_order
 
@@ -88,54 +89,98 @@ def _spelling() -> Column:
     return F.array_min(F.collect_set("location"))
 
 
-def match_lodgings(listings: DataFrame, stay: Sequence[str] = ()) -> DataFrame:
+#: Columns that two offers must share to be for the same stay.
+STAY = ("check_in", "check_out")
+
+
+def with_stays(listings: DataFrame, requests: DataFrame) -> DataFrame:
+    """Listings with ``check_in``, ``check_out``, ``nights`` and ``per_night`` of the request they answer.
+
+    ``per_night`` is the price itself where that is for one night, else the price of the stay by its
+    nights; NULL where the stay is unknown or invalid. Requests are one row per request, so a hot
+    request's listings can be split in the join.
+    """
+    stays = requests.select("request_id", "source", *STAY)
+    joined = listings.join(stays, ["request_id", "source"], "left")
+    known = nights("check_in", "check_out")
+    of_one = F.when(known.isNotNull(), F.col("price_krw").cast("double"))
+    per_night = F.when(F.col("price_basis") == fv.PER_NIGHT, of_one).otherwise(
+        price_per_night("price_krw", "check_in", "check_out")
+    )
+    return joined.withColumns({"nights": known, "per_night": per_night})
+
+
+def per_night_gap(listings: DataFrame, requests: DataFrame) -> DataFrame:
+    """Price gaps per night between platforms, of the same lodging for the same stay.
+
+    Offers without a valid stay compare with nothing. The columns of :func:`price_gap`, and the stay;
+    prices and gaps are per night.
+    """
+    stays = with_stays(comparable(listings), requests).filter(F.col("per_night").isNotNull())
+    return price_gap(stays, stay=(*STAY, "nights"), price="per_night")
+
+
+def match_lodgings(
+    listings: DataFrame, stay: Sequence[str] = (), price: str = "price_krw"
+) -> DataFrame:
     """Lowest price per lodging and platform, for lodgings matched by name and region.
 
     Names and regions are compared without case, blanks and punctuation; ``location`` is the first
     of a lodging's spellings. Listings whose name or region is missing or only punctuation match
-    nothing. ``stay`` names further columns that must be equal, such as the dates. ``n_per_night``
+    nothing. ``stay`` names further columns that must be equal, such as the dates, and ``price`` the
+    column whose lowest value counts. ``n_per_night``
     of the ``n`` offers are known to be priced for one night.
     """
     return _lodgings(listings).groupBy("match_key", "region_key", *stay, "source").agg(
         _spelling().alias("location"),
-        F.min("price_krw").alias("price_krw"),
+        F.min(price).alias(price),
         F.count("*").alias("n"),
         _per_night().alias("n_per_night"),
     )
 
 
-def price_gap(listings: DataFrame) -> DataFrame:
+def price_gap(
+    listings: DataFrame, stay: Sequence[str] = (), price: str = "price_krw"
+) -> DataFrame:
     """Per lodging and platform: lowest price, cheapest platform, and the gap to it.
 
+    ``stay`` and ``price`` as in :func:`match_lodgings`; lodgings are then compared per stay.
+
     The window runs over matched lodgings, which have one row per platform. Of platforms at the
     same price the first by name counts as cheapest. ``mixed_basis`` marks lodgings whose prices
     do not all cover the same thing.
     """
-    lodging = W.partitionBy("match_key", "region_key")
-    matched = match_lodgings(listings)
-    cheapest = F.min(F.struct("price_krw", "source")).over(lodging)
+    lodging = W.partitionBy("match_key", "region_key", *stay)
+    matched = match_lodgings(listings, stay, price)
+    cheapest = F.min(F.struct(price, "source")).over(lodging)
     return matched.select(
         "match_key",
+        *stay,
         F.min("location").over(lodging).alias("location"),
         "source",
-        "price_krw",
+        price,
         cheapest["source"].alias("cheapest_source"),
-        (F.col("price_krw") - cheapest["price_krw"]).alias("gap"),
+        (F.col(price) - cheapest[price]).alias("gap"),
         F.count("*").over(lodging).alias("n_platforms"),
         _mixed(F.sum("n_per_night").over(lodging), F.sum("n").over(lodging)).alias("mixed_basis"),
     )
 
 
-def pivot_prices(listings: DataFrame, platforms: Sequence[str]) -> DataFrame:
-    """One row per lodging, one column with the lowest price per platform.
+def pivot_prices(
+    listings: DataFrame,
+    platforms: Sequence[str],
+    stay: Sequence[str] = (),
+    price: str = "price_krw",
+) -> DataFrame:
+    """One row per lodging (and ``stay``), one column with the lowest price per platform.
 
     Naming the platforms spares the extra job that finds them.
     """
     lowest = [
-        F.min(F.when(F.col("source") == name, F.col("price_krw"))).alias(name) for name in platforms
+        F.min(F.when(F.col("source") == name, F.col(price))).alias(name) for name in platforms
     ]
     mixed = _mixed(_per_night(), F.count("*"))
-    grouped = _lodgings(listings).groupBy("match_key", "region_key")
+    grouped = _lodgings(listings).groupBy("match_key", "region_key", *stay)
     return grouped.agg(_spelling().alias("location"), *lowest, mixed.alias("mixed_basis")).drop(
         "region_key"
     )

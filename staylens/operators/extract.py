@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from staylens.functions.markup import Field, Group, read_markup
@@ -48,24 +48,55 @@ def _complete(card: Column, required: Sequence[str]) -> Column:
     return found
 
 
+def _read_pages(
+    captures: DataFrame,
+    shape: dict[str, Field | Group],
+    keys: Sequence[str],
+    observation: Observation | None,
+) -> DataFrame:
+    """Pages with ``page``, what the reader found; ``observation`` gets ``pages`` and ``unread`` of the same pass."""
+    pages = captures.select(*keys, read_markup("html", shape).alias("page"))
+    if observation is None:
+        return pages
+    unread = F.count_if(F.col("page.error").isNotNull()).alias("unread")
+    return pages.observe(observation, F.count("*").alias("pages"), unread)
+
+
 def extract_cards(
     captures: DataFrame,
     spec: CardSpec,
     keys: Sequence[str] = CAPTURE_KEYS,
     required: Sequence[str] | None = None,
+    observation: Observation | None = None,
 ) -> DataFrame:
     """One row per card that has every required field.
 
-    ``required`` replaces the fields the specification asks for; ``()`` keeps every card.
+    ``required`` replaces the fields the specification asks for; ``()`` keeps every card. After a run
+    ``observation`` holds the numbers of ``pages`` and of those ``unread``, without a second reading. What
+    makes Spark go over the rows twice, as the sample of a global sort does, counts them twice.
     """
     required = spec.required if required is None else required
-    cards = read_markup("html", {"cards": Group(spec.card, spec.fields)})["cards"]
-    numbered = captures.select(*keys, F.posexplode(cards).alias("item_pos", "card"))
+    shape: dict[str, Field | Group] = {"cards": Group(spec.card, spec.fields)}
+    if observation is None:
+        cards = read_markup("html", shape)["cards"]
+        numbered = captures.select(*keys, F.posexplode(cards).alias("item_pos", "card"))
+    else:
+        pages = _read_pages(captures, shape, keys, observation)
+        numbered = pages.select(*keys, F.posexplode("page.cards").alias("item_pos", "card"))
     return numbered.filter(_complete(F.col("card"), required)).select(*keys, "item_pos", "card.*")
 
 
+def stored_errors(pages: DataFrame, keys: Sequence[str] = CAPTURE_KEYS) -> DataFrame:
+    """The same as :func:`page_errors` for pages that :func:`card_pages` or :func:`list_pages` has read."""
+    return pages.where(F.col("error").isNotNull()).select(*keys, "error")
+
+
 def page_errors(captures: DataFrame, keys: Sequence[str] = CAPTURE_KEYS) -> DataFrame:
-    """One row per page that the reader could not read, with what it said: pages other rows lack."""
+    """One row per page that the reader could not read, with what it said: pages other rows lack.
+
+    It reads the pages for that alone. :func:`extract_cards` and :func:`extract_aligned` count unread
+    pages in their own pass, and stored pages name them (:func:`stored_errors`).
+    """
     error = read_markup("html", {})["error"]
     # Exploded where it is made, so the page is read once.
     said = F.filter(F.array(error), lambda text: text.isNotNull())
@@ -78,7 +109,13 @@ def aligned(lists: dict[str, Column | str]) -> Column:
     ``arrays_zip`` alone pads the shorter ones with NULL. If an array is NULL, so is the result.
     """
     columns = {name: as_column(column) for name, column in lists.items()}
-    return F.slice(_zipped(columns), F.lit(1), F.least(*map(F.array_size, columns.values())))
+    return F.slice(_zipped(columns), F.lit(1), _of_sizes(F.least, columns))
+
+
+def _of_sizes(function: Callable[..., Column], arrays: dict[str, Column]) -> Column:
+    """Least or greatest of the arrays' sizes, of which there may be one."""
+    sizes = [F.array_size(array) for array in arrays.values()]
+    return function(*sizes) if len(sizes) > 1 else sizes[0]
 
 
 def _zipped(columns: dict[str, Column]) -> Column:
@@ -86,17 +123,19 @@ def _zipped(columns: dict[str, Column]) -> Column:
 
 
 def list_pages(
-    captures: DataFrame, spec: ListSpec, keys: Sequence[str] = CAPTURE_KEYS
+    captures: DataFrame,
+    spec: ListSpec,
+    keys: Sequence[str] = CAPTURE_KEYS,
+    observation: Observation | None = None,
 ) -> DataFrame:
     """One row per page: its lists zipped, the size of the shortest, and whether sizes differ.
 
     The listings of a page are the first ``n_items`` entries of ``zipped``. If the lists differ
     in size, fields of different listings may have come together.
     """
-    pages = captures.select(*keys, read_markup("html", spec.lists).alias("page"))
+    pages = _read_pages(captures, dict(spec.lists), keys, observation)
     lists = {name: F.col(f"page.{name}") for name in spec.lists}
-    shortest = F.least(*map(F.array_size, lists.values()))
-    longest = F.greatest(*map(F.array_size, lists.values()))
+    shortest, longest = _of_sizes(F.least, lists), _of_sizes(F.greatest, lists)
     return pages.select(
         *keys,
         _zipped(lists).alias("zipped"),
@@ -115,10 +154,13 @@ def explode_lists(pages: DataFrame, keys: Sequence[str] = CAPTURE_KEYS) -> DataF
 
 
 def extract_aligned(
-    captures: DataFrame, spec: ListSpec, keys: Sequence[str] = CAPTURE_KEYS
+    captures: DataFrame,
+    spec: ListSpec,
+    keys: Sequence[str] = CAPTURE_KEYS,
+    observation: Observation | None = None,
 ) -> DataFrame:
-    """One row per listing of pages read as parallel lists."""
-    return explode_lists(list_pages(captures, spec, keys), keys)
+    """One row per listing of pages read as parallel lists; ``observation`` as in :func:`extract_cards`."""
+    return explode_lists(list_pages(captures, spec, keys, observation), keys)
 
 
 def keyword_list(spec: KeywordSpec, html: Column | str = "html") -> Column:

@@ -36,6 +36,13 @@ def fill_sentinels(listings: DataFrame) -> DataFrame:
     return listings.withColumns(filled)
 
 
+def listing_headers(source: str) -> list[str]:
+    """Headers of a platform's file, in their order."""
+    return [
+        header for field, header in fv.LISTING_HEADERS.items() if field != "link" or source in fv.WITH_LINK
+    ]
+
+
 def compat_view(listings: DataFrame, link: bool = True) -> DataFrame:
     """Listings as strings under the files' headers, in their order, sentinels included.
 

@@ -78,18 +78,27 @@ def union_sources(frames: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(lambda left, right: left.unionByName(right), tagged)
 
 
-def source_report(items: DataFrame, sources: Iterable[str] = ()) -> DataFrame:
-    """Rows per source, also for the named ``sources`` without any, which are reported as such."""
+def source_report(
+    items: DataFrame, sources: Iterable[str] = (), status: Mapping[str, str] | None = None
+) -> DataFrame:
+    """Rows per source, also for the named ``sources`` without any, which are reported as such.
+
+    ``status`` says how reading a source went; what is not ``ok`` there is the source's status.
+    """
     spark = items.sparkSession
-    names = spark.createDataFrame([(name,) for name in sources], "source string")
+    wrong = {name: said for name, said in (status or {}).items() if said != "ok"}
+    names = spark.createDataFrame(
+        [(name,) for name in dict.fromkeys([*sources, *(status or {})])], "source string"
+    )
     # A named source is one more row that does not count: one aggregate, no join.
     every = items.select("source", F.lit(1).alias("_one")).unionByName(
         names.withColumn("_one", F.lit(0))
     )
     n = F.sum("_one")
-    return every.groupBy("source").agg(
-        n.alias("n"), F.when(n > 0, "ok").otherwise(fv.NO_DATA).alias("status")
-    )
+    said = F.when(n > 0, "ok").otherwise(fv.NO_DATA)
+    for name, how in wrong.items():
+        said = F.when(F.col("source") == name, how).otherwise(said)
+    return every.groupBy("source").agg(n.alias("n"), said.alias("status"))
 
 
 def counts_by(frame: DataFrame, keys: Sequence[str], name: str = "n") -> DataFrame:

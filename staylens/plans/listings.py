@@ -18,6 +18,7 @@ from staylens.operators.extract import (
     extract_cards,
     list_pages,
     page_prefix,
+    stored_errors,
 )
 from staylens.operators.listings import union_listings
 from staylens.operators.rooms import explode_rooms
@@ -51,22 +52,37 @@ def _of(captures: DataFrame, source: str) -> DataFrame:
 
 
 def card_items(captures: DataFrame, spec: CardSpec = TRIVAGO_CARDS) -> DataFrame:
-    """Cards of the pages up to the end of each request, one row per card.
+    """Cards of the pages up to the end of each request, one row per card."""
+    return card_items_and_errors(captures, spec)[0]
+
+
+def card_items_and_errors(
+    captures: DataFrame, spec: CardSpec = TRIVAGO_CARDS
+) -> tuple[DataFrame, DataFrame]:
+    """The cards, and the pages that could not be read with the reader's words, from one reading.
 
     Pages are parsed once into a durable table: the end of a request is found from its small
-    columns and the cards are read from it afterwards.
+    columns, and the cards and the errors are read from it afterwards.
     """
     pages = durable(card_pages(_of(captures, spec.source), spec))
     kept = page_prefix(pages, ["source", "request_id"], is_last="is_last")
-    return kept.select(*_KEYS, F.posexplode("items").alias("item_pos", "item")).select(
+    cards = kept.select(*_KEYS, F.posexplode("items").alias("item_pos", "item")).select(
         *_KEYS, "item_pos", "item.*"
     )
+    return cards, stored_errors(pages)
 
 
 def list_items(captures: DataFrame, spec: ListSpec = YEOGI_LISTS) -> DataFrame:
     """Listings read by position, of the pages before the first empty one of each request."""
+    return list_items_and_errors(captures, spec)[0]
+
+
+def list_items_and_errors(
+    captures: DataFrame, spec: ListSpec = YEOGI_LISTS
+) -> tuple[DataFrame, DataFrame]:
+    """The listings, and the pages that could not be read, from one reading into a durable table."""
     pages = durable(list_pages(_of(captures, spec.source), spec))
-    return explode_lists(page_prefix(pages, ["source", "request_id"]))
+    return explode_lists(page_prefix(pages, ["source", "request_id"])), stored_errors(pages)
 
 
 def card_listings(captures: DataFrame, keep_incomplete: bool = False) -> DataFrame:

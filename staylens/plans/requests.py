@@ -34,17 +34,29 @@ def requests_from_captures(captures: DataFrame) -> DataFrame:
     return with_defaults(stated.withColumn("children", F.lit(None).cast("int")))
 
 
+def query_files(requests: DataFrame) -> DataFrame:
+    """``request_id``, ``source``, ``query`` and ``file_name``: the file that each request's listings go to.
+
+    Requests without a query are named by their ``request_id``.
+    """
+    name = output_key(F.coalesce("query", "request_id"), "source")
+    return requests.select("request_id", "source", "query", name.alias("file_name"))
+
+
 def listing_files(listings: DataFrame, requests: DataFrame) -> DataFrame:
-    """Listings as the platforms' files hold them, with source, query and name of their file.
+    """Listings as the platforms' files hold them, with source, query, place and name of their file.
 
-    Made for :func:`staylens.sources.write_listings_csv`; listings without a known request have a
-    NULL query. Requests are one row per request, so a hot request can be split in the join.
+    Made for :func:`staylens.sources.write_listing_files`, which writes each platform's own columns.
+    Listings without a known request have a NULL query and a file named by their ``request_id``.
+    Requests are one row per request, so a hot request can be split in the join.
     """
-    named = requests.select("request_id", "source", "query")
-    joined = fill_sentinels(listings).join(named, ["request_id", "source"], "left")
+    joined = fill_sentinels(listings).join(query_files(requests), ["request_id", "source"], "left")
     return joined.select(
         "source",
         "query",
-        output_key("query", "source").alias("file_name"),
+        F.coalesce("file_name", output_key("request_id", "source")).alias("file_name"),
+        "page_no",
+        "item_pos",
+        "room_pos",
         *[F.col(field).alias(header) for field, header in fv.LISTING_HEADERS.items()],
     )

@@ -138,6 +138,81 @@ def platform_gap(spark: SparkSession, folder: str) -> DataFrame:
     return compare.price_gap(offers(spark, folder))
 
 
+# A part's first word and its supplier's region stand in for the lodging, an order for the request.
+_STAYS_SQL = f"""
+    WITH offers AS (
+        SELECT CASE l_suppkey % 3 WHEN 0 THEN '{fv.TRIVAGO}' WHEN 1 THEN '{fv.YANOLJA}'
+                                  ELSE '{fv.YEOGI}' END AS source,
+               split_part(p_name, ' ', 1) AS match_key, r_name AS location,
+               CAST(date_trunc('month', o_orderdate) AS DATE) AS check_in,
+               CAST(o_orderkey % 4 AS INTEGER) AS nights,
+               CAST(floor(l_extendedprice) AS BIGINT) AS price_krw,
+               l_linestatus = 'F' AS one_night
+        FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey
+             JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey
+             JOIN region ON r_regionkey = n_regionkey
+        WHERE l_returnflag <> 'R'),
+    lodgings AS (
+        SELECT match_key, check_in, nights, location, source,
+               min(CASE WHEN one_night THEN CAST(price_krw AS DOUBLE)
+                        ELSE CAST(price_krw AS DOUBLE) / nights END) AS per_night,
+               min(one_night) AS low, max(one_night) AS high
+        FROM offers WHERE nights > 0 GROUP BY ALL)"""
+
+
+def stay_offers(spark: SparkSession, folder: str) -> DataFrame:
+    """Order lines as listings that answer an order, the request."""
+    regions = (
+        table(spark, folder, "supplier")
+        .join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        .select(F.col("s_suppkey").alias("l_suppkey"), F.col("r_name").alias("location"))
+    )
+    parts = table(spark, folder, "part").select(
+        F.col("p_partkey").alias("l_partkey"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("name")
+    )
+    lines = table(spark, folder, "lineitem").join(regions, "l_suppkey").join(parts, "l_partkey")
+    platform = (F.col("l_suppkey") % 3 + 1).cast("int")
+    return lines.select(
+        F.col("l_orderkey").alias("request_id"),
+        F.element_at(F.array(*map(F.lit, PLATFORMS)), platform).alias("source"),
+        "name",
+        "location",
+        F.floor("l_extendedprice").alias("price_krw"),
+        F.when(F.col("l_linestatus") == "F", fv.PER_NIGHT).alias("price_basis"),
+        (F.col("l_returnflag") != "R").alias("available"),
+    )
+
+
+def stay_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as requests to every platform; some are for no night at all."""
+    check_in = F.trunc("o_orderdate", "month")
+    return table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("request_id"),
+        F.explode(F.array(*map(F.lit, PLATFORMS))).alias("source"),
+        check_in.alias("check_in"),
+        F.date_add(check_in, (F.col("o_orderkey") % 4).cast("int")).alias("check_out"),
+    )
+
+
+@query(
+    _STAYS_SQL
+    + """
+    SELECT match_key, location, source, CAST(check_in AS VARCHAR) AS check_in, nights, per_night,
+           first_value(source) OVER lodging AS cheapest_source,
+           per_night - first_value(per_night) OVER lodging AS gap,
+           count(*) OVER same_stay AS n_platforms,
+           min(low) OVER same_stay <> max(high) OVER same_stay AS mixed_basis
+    FROM lodgings
+    WINDOW lodging AS (PARTITION BY match_key, location, check_in, nights ORDER BY per_night, source),
+           same_stay AS (PARTITION BY match_key, location, check_in, nights)"""
+)
+def stay_gap(spark: SparkSession, folder: str) -> DataFrame:
+    """Lowest price per night and platform for equal stays, with the gap to the cheapest platform."""
+    found = compare.per_night_gap(stay_offers(spark, folder), stay_requests(spark, folder))
+    return found.drop("check_out").withColumn("check_in", F.col("check_in").cast("string"))
+
+
 def _value_columns(frame: DataFrame) -> DataFrame:
     return frame.select(*_VALUE_COLUMNS, "value_rank").withColumn(
         "rating10", F.col("rating10").cast("double")

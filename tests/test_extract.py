@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 from decimal import Decimal
 
 import pages as html
@@ -11,6 +12,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from staylens import fixed_values as fv
+from staylens.functions import markup
 from staylens import schemas
 from staylens.functions.markup import Field, Group, read_markup
 from staylens.operators.extract import aligned, extract_keywords, keyword_list, page_prefix
@@ -236,3 +238,50 @@ def test_extract_keywords_positions(spark):
     page = "<button data-testid='apd-destination-button'>x</button>" * 2
     rows = extract_keywords(captures(spark, fv.TRIVAGO, page), TRIVAGO_KEYWORDS).collect()
     assert [(r.pos, r.region) for r in rows] == [(0, "x")]
+
+
+_PIECES = (
+    "<p>", "</p>", '<div class="a b">', "</div>", '<a href="x&amp;y">', "<a href='q'>", '<A HREF="Z" href="y">', "</a >", "<br>",
+    "<br/>", "<img src=x>", "text", "a > b", " ", "\n", "  \t", "&amp;", "&lt", "&#65;", "& b", "&", "<script>if(a<b){x>y}</script>",
+    "<script>", "</script>", "<style>p{a>b}</style>", "<title>T &amp; <b>x</b></title>", "<textarea> <p> </textarea>", "<pre>",
+    "</pre>", " \n ", "<!-- c > d -->", "<!--", "-->", "<!DOCTYPE html>", "<?pi x>", "</>", "</ b>", "< p", "<", "<1>", "<p",
+    '<p class="', '"', "'", "<svg><p/></svg>", "<li >", "</li>", "<noscript><p>", "</noscript>", "<plaintext>", "é", "<![CDATA[x]]>",
+    "<!x>", '<P\tid="1"\n>', '<p id="a>b">', '<p a="&lt;">',
+)
+
+
+def test_plain_tags_are_taken_as_the_standard_parser_takes_them(monkeypatch):
+    """What is taken at once gives the same elements, attributes and texts as the parser alone."""
+    rng = random.Random(1)
+    pages = ["".join(rng.choices(_PIECES, k=rng.randint(0, 25))) for _ in range(5000)]
+
+    def seen(html):
+        try:
+            page = markup._Page(html)
+        except AssertionError as error:
+            return str(error)
+        return page.tags, [dict(a) for a in page.attrs], page.parents, page.is_first, page.spans, page.texts, page.own_text
+
+    found = [seen(html) for html in pages]
+    monkeypatch.setattr(markup._Page, "_take", markup._Page.feed)
+    assert found == [seen(html) for html in pages]
+
+
+def test_attributes_are_kept_where_a_selector_needs_them(spark):
+    """Each kind of selector and attribute, with and without tags of its own, in one reading."""
+    html = '<ul id="u"><li class="x y" title="t"><a href="1">a</a></li><li><b data-k="v w">b</b></li></ul>'
+    group = lambda selector, **fields: markup.Group(selector, fields)
+    field = markup.Field
+    shapes = [
+        ({"a": field("li.x a", attr="href")}, {"a": "1"}),
+        ({"a": field("li a", attr="href"), "g": group("li", k=field("b", attr="data-k"))}, {"a": "1", "g": [{"k": None}, {"k": "v w"}]}),
+        ({"g": group("li", t=field("", attr="title"))}, {"g": [{"t": "t"}, {"t": ""}]}),
+        ({"a": field("[data-k*='w']")}, {"a": "b"}),
+        ({"a": field("ul > *", attr="class", many=True)}, {"a": ["x y", ""]}),
+    ]
+    frame = spark.createDataFrame([(1, html), (2, None), (3, "<ul>")], "n int, html string")
+    for shape, expected in shapes:
+        rows = frame.select("n", markup.read_markup("html", shape).alias("page")).orderBy("n").collect()
+        assert rows[0].page.asDict(recursive=True) == expected | {"error": None}
+        assert rows[1].page is None
+        assert all(not value for value in rows[2].page.asDict().values())

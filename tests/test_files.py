@@ -13,10 +13,14 @@ import pytest
 from staylens import fixed_values as fv
 from staylens import schemas
 from staylens.operators.listings import compat_view
+from staylens.operators.ranking import source_report
 from staylens.plans import (
     card_listings,
     list_listings,
     listing_files,
+    query_files,
+    rankings,
+    rankings_of_sources,
     requests_from_captures,
     room_listings,
     with_defaults,
@@ -25,13 +29,16 @@ from staylens.sources import (
     clear_stored,
     durable,
     read_captures,
+    read_newest_captures,
     read_sources,
     release,
     shared_folder,
+    write_listing_files,
     write_listings,
     write_listings_csv,
     write_rankings_csv,
 )
+from staylens.sources import captures as source_of_captures
 from staylens.streaming import stream_captures, stream_rooms, write_arrivals
 
 HEADERS = "source string, query string, `숙소명` string, `가격` string"
@@ -66,12 +73,132 @@ def test_a_missing_source_leaves_the_others(spark, tmp_path):
     assert [r.source for r in frame.collect()] == [fv.YANOLJA]
 
 
-def test_a_broken_file_is_an_error(spark, tmp_path):
-    (tmp_path / "bad").mkdir()
+def broken(tmp_path, *names):
+    """Folders with a file that is no Parquet, one with another schema, and one damaged inside."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for name in names:
+        (tmp_path / name).mkdir()
     (tmp_path / "bad" / "x.parquet").write_bytes(b"no parquet")
-    frame, _ = read_sources(spark, {fv.YANOLJA: str(tmp_path / "bad")})
-    with pytest.raises(Exception):
-        frame.collect()
+    pq.write_table(pa.table({"request_id": ["r"], "html": [1]}), tmp_path / "typed" / "x.parquet")
+    # Plain pages of a known length, whose data is then overwritten: the footer stays sound.
+    target = tmp_path / "damaged" / "x.parquet"
+    table = pa.table({"source": ["s"], "request_id": ["r"], "page_no": pa.array([1], pa.int32()),
+                      "captured_at": pa.array([0], pa.timestamp("us", "UTC")), "url": ["u"], "html": ["x" * 20_000]})
+    pq.write_table(table, target, compression="zstd", use_dictionary=False)
+    data = bytearray(target.read_bytes())
+    data[4:200] = bytes(196)
+    target.write_bytes(bytes(data))
+
+
+def test_sources_that_cannot_be_read_leave_the_others(spark, tmp_path):
+    broken(tmp_path, "bad", "typed", "damaged")
+    page = "".join(f'<span class="PopularSearchList_keyword__1LfLt">{w}</span>' for w in ("서울", "부산"))
+    captures(spark, fv.YANOLJA, page).write.parquet(str(tmp_path / "good"))
+    for folder in ("bad", "typed", "none"):
+        paths = {fv.YANOLJA: str(tmp_path / "good"), fv.YEOGI: str(tmp_path / folder)}
+        frame, status = read_sources(spark, paths)
+        assert status == {fv.YANOLJA: "ok", fv.YEOGI: "missing" if folder == "none" else "failed"}
+        assert [r.source for r in frame.collect()] == [fv.YANOLJA]
+        report = source_report(rankings(frame), paths, status)
+        assert {(r.source, r.n, r.status) for r in report.collect()} == {
+            (fv.YANOLJA, 2, "ok"), (fv.YEOGI, 0, status[fv.YEOGI])}
+
+
+def test_damage_inside_a_file_leaves_the_other_rankings(spark, tmp_path):
+    broken(tmp_path, "bad", "typed", "damaged")
+    page = "".join(f'<span class="PopularSearchList_keyword__1LfLt">{w}</span>' for w in ("서울", "부산"))
+    captures(spark, fv.YANOLJA, page).write.parquet(str(tmp_path / "good"))
+    paths = {fv.TRIVAGO: str(tmp_path / "damaged"), fv.YANOLJA: str(tmp_path / "good"), fv.YEOGI: str(tmp_path / "typed")}
+    found, report = rankings_of_sources(spark, paths)
+    assert [(r.source, r["rank"], r.region) for r in found.orderBy("rank").collect()] == [
+        (fv.YANOLJA, 1, "서울"), (fv.YANOLJA, 2, "부산")]
+    assert {(r.source, r.n, r.status) for r in report.collect()} == {
+        (fv.TRIVAGO, 0, "failed"), (fv.YANOLJA, 2, "ok"), (fv.YEOGI, 0, "failed")}
+    nothing, report = rankings_of_sources(spark, {fv.YEOGI: str(tmp_path / "none")})
+    assert nothing.collect() == [] and [(r.n, r.status) for r in report.collect()] == [(0, "missing")]
+
+
+def test_newest_captures(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "captures")
+    day = lambda n: None if n is None else dt.datetime(2025, 8, n)
+    rows = [(fv.YEOGI, "r", 1, day(1), "u", "old"), (fv.YEOGI, "r", 1, day(3), "u", "new"), (fv.YEOGI, "r", 1, None, "u", "undated"),
+            (fv.YEOGI, "r", 2, None, "u", "alone"), (fv.TRIVAGO, "r", 1, day(2), "u", "other"), (fv.YEOGI, None, 1, day(1), "u", "a"),
+            (fv.YEOGI, None, 1, day(2), "u", "b"), (fv.TRIVAGO, "s", 1, day(5), "u", "same"), (fv.TRIVAGO, "s", 1, day(5), "u", "same")]
+    spark.createDataFrame(rows, schemas.CAPTURES).repartition(4).write.partitionBy("source").parquet(path)
+    expected = sorted(["new", "alone", "other", "b", "same"])
+    found = read_newest_captures(spark, path)
+    assert found.columns == read_captures(spark, path).columns
+    assert sorted(r.html for r in found.collect()) == expected
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = found._jdf.queryExecution().explainString(mode)
+    assert "BroadcastHashJoin LeftAnti" in plan
+    # Pages are in no exchange: the only one is the broadcast of places.
+    assert not any("html" in part for part in plan.split("Exchange")[1:] for part in [part.split("\n\n")[0]])
+    assert "Exchange hashpartitioning" not in plan
+    monkeypatch.setattr(source_of_captures, "SUPERSEDED_BYTES", 0)
+    assert sorted(r.html for r in read_newest_captures(spark, path).collect()) == expected
+    assert sorted(r.html for r in read_newest_captures(spark, path, [fv.YEOGI], ["r"]).collect()) == ["alone", "new"]
+
+
+def test_files_as_the_platforms_write_them(spark, tmp_path):
+    """Bytes of each platform's file, under its own name; files of other queries stay."""
+    frame = captures(spark, fv.TRIVAGO, html.card_page(html.card("A, B", "서울", "9.1", None, "1,000"), html.card("C", "부산", "8", "호텔"))).union(
+        captures(spark, fv.YANOLJA, html.listing(1, price="9,000", rooms=[html.room("2인 룸", "8,000"), html.room("스위트")]))).union(
+        captures(spark, fv.YEOGI, html.row_page(["가", "나"], links=["/1", "/2"])))
+    listings = card_listings(frame).unionByName(room_listings(frame)).unionByName(list_listings(frame))
+    requests = spark.createDataFrame(
+        [("r1", source, "부산 해운대/동", None, None, 2, 0) for source in (fv.TRIVAGO, fv.YANOLJA, fv.YEOGI)]
+        + [("r2", fv.YEOGI, "빈 곳", None, None, 2, 0), ("r2", fv.TRIVAGO, "빈 곳", None, None, 2, 0)], schemas.REQUESTS)
+    path = tmp_path / "files"
+    path.mkdir()
+    (path / "trivago_other.csv").write_bytes(b"kept")
+    for _ in range(2):  # the second time over the first
+        write_listing_files(listing_files(listings, requests), str(path), query_files(requests))
+    visible = {f.name: f.read_bytes().decode("utf-8") for f in path.iterdir() if not f.name.startswith(".")}
+    head, mark = "숙소명,숙소유형,위치,평점,가격", "\ufeff"
+    place = "https://place-site.yanolja.com/places/1"
+    assert visible == {
+        "trivago_other.csv": "kept",
+        "trivago_부산 해운대_동.csv": f'{mark}{head}\n"A, B",유형 정보 없음,서울,9.1,"1,000원"\nC,호텔,부산,8,가격 정보 없음\n',
+        "yanolja_부산 해운대_동.csv": f"{mark}{head},링크\n호텔 & 스파,호텔,부산 해운대구,8.9,8000,{place}\n"
+                                 f"호텔 & 스파,호텔,부산 해운대구,8.9,9000,{place}\n",
+        "부산_해운대_동_yeogi.csv": f"{mark}{head},링크\n" + "".join(
+            f"{n},{n},{n} 역,{n},{n}원/1박,https://www.yeogi.com/{i}\n" for i, n in enumerate("가나", 1)),
+        "빈_곳_yeogi.csv": f"{mark}{head},링크\n",
+    }
+
+
+def test_a_listing_without_a_request_and_a_hot_query(spark, tmp_path):
+    frame = captures(spark, fv.YEOGI, html.row_page([f"n{i}" for i in range(300)]), "r9")
+    requests = spark.createDataFrame([], schemas.REQUESTS)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2k")
+    try:
+        write_listing_files(listing_files(list_listings(frame).repartition(9), requests), str(tmp_path / "hot"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = [f for f in (tmp_path / "hot").iterdir() if f.suffix == ".csv"]
+    lines = [line for f in files for line in f.read_text("utf-8-sig").splitlines()]
+    assert all(f.name.startswith("r9_yeogi") for f in files)
+    assert sorted(line.split(",")[0] for line in lines if not line.startswith("숙소명")) == sorted(f"n{i}" for i in range(300))
+    assert sum(line.startswith("숙소명") for line in lines) == len(files)
+
+
+def test_one_ranking_per_source(spark, tmp_path):
+    page = lambda *names: "".join(f'<span class="PopularSearchList_keyword__1LfLt">{w}</span>' for w in names)
+    rows = [(fv.YANOLJA, "r", n, dt.datetime(2025, 8, n), "u", page(f"a{n}", f"b{n}")) for n in (1, 2, 3)]
+    found = rankings(spark.createDataFrame(rows, schemas.CAPTURES))
+
+    def read(folder):
+        return {f.name if folder == "others" else "all": f.read_text("utf-8-sig").splitlines()[1:]
+                for f in csv_files(tmp_path / folder) if f.stat().st_size > 30}
+
+    write_rankings_csv(found, str(tmp_path / "newest"), others=str(tmp_path / "others"))
+    assert read("newest") == {"all": ["Yanolja,1,a3", "Yanolja,2,b3"]}
+    assert read("others") == {f"Yanolja_r_{n}_2025080{n}T000000.csv": [f"Yanolja,1,a{n}", f"Yanolja,2,b{n}"] for n in (1, 2)}
+    write_rankings_csv(found, str(tmp_path / "then"), at="2025-08-02 12:00:00")
+    assert read("then") == {"all": ["Yanolja,1,a2", "Yanolja,2,b2"]}
 
 
 def test_listing_csv_per_query(spark, tmp_path):

@@ -5,14 +5,17 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
 
 from staylens.functions.markup import Field
+from staylens.operators.compare import with_stays
 from staylens.operators.extract import extract_aligned, extract_cards, extract_keywords
 from staylens.operators.ranking import distinct_first
 from staylens.plans import room_listings
 from staylens.queries import QUERIES
 from staylens.queries.pages import NAV_KEYWORDS, PAGE_CARD, placed_keywords
-from staylens.specs import KeywordSpec, ListSpec
+from staylens.specs import CardSpec, KeywordSpec, ListSpec
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -108,3 +111,49 @@ def test_rank_union_reads_pages_once_and_pivot_shuffles_once(spark):
     assert queries(spark, "source_report").count("ReadSchema: struct<url:string,html:string") <= 1
     pivot = QUERIES["platform_pivot"](spark, FOLDER)
     assert plan(pivot).count("hashpartitioning(match_key") == 1
+
+
+UNREADABLE = "<p>a</p><![broken["
+
+
+def test_unread_pages_are_counted_by_the_pass_that_reads(spark):
+    pages = spark.createDataFrame(
+        [("r", n, html) for n, html in enumerate(["<p>a</p><p>b</p>", UNREADABLE, None, "<i>"])],
+        "request_id string, page_no int, html string")
+    spec = ListSpec("x", {"a": Field("p", many=True)})
+    seen = Observation()
+    listed = extract_aligned(pages, spec, ["page_no"], seen)
+    assert count(plan(listed), "ArrowEvalPython") == 1
+    assert sorted(r.a for r in listed.collect()) == ["a", "b"]
+    assert seen.get == {"pages": 4, "unread": 1}
+    seen = Observation()
+    cards = extract_cards(pages, CardSpec("x", "p", {"a": Field("")}), ["page_no"], observation=seen)
+    assert count(plan(cards), "ArrowEvalPython") == 1
+    assert len(cards.collect()) == 2 and seen.get == {"pages": 4, "unread": 1}
+
+
+def test_a_hot_request_is_split_in_the_join_with_its_stay(spark):
+    """A request with most of the listings: the join's tasks share it, as the executed plan says."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+    }
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        hot = F.when(F.col("id") % 10 < 8, "hot").otherwise(F.concat(F.lit("r"), F.col("id") % 50))
+        listings = spark.range(40_000).repartition(8).select(
+            hot.alias("request_id"), F.lit("s").alias("source"), F.sha2(F.col("id").cast("string"), 256).alias("name"),
+            F.col("id").alias("price_krw"), F.lit(None).cast("string").alias("price_basis"))
+        requests = listings.select("request_id", "source").distinct().selectExpr(
+            "*", "date'2025-08-01' AS check_in", "date'2025-08-03' AS check_out")
+        joined = with_stays(listings, requests)
+        assert joined.where("per_night = price_krw / 2").count() == 40_000
+        joined.collect()
+        executed = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin(skew=true)" in executed
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
