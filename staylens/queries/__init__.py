@@ -27,4 +27,4 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-from staylens.queries import listings, offers, pages, scalars  # noqa: E402, F401
+from staylens.queries import listings, offers, pages, platforms, scalars  # noqa: E402, F401
