@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from typing import TypeVar
 
@@ -48,6 +48,17 @@ def ship(spark: SparkSession, value: Value) -> Callable[[], Value]:
     return get
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = TEXT_ROWS_PER_BATCH) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``.
+
+    Spark bounds the bytes of what it sends; this bounds what a step makes of it, and leaves the
+    session's settings alone.
+    """
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def unused(frame: DataFrame, name: str) -> str:
     """The name, with underscores before it until no column of the frame has it."""
     taken = {c.lower() for c in frame.columns}
@@ -69,8 +80,6 @@ def add_columns(
     ``inputs`` named as given) to the added columns. A kept column whose name is also an added
     one gives way to the added one. Rows stay in place: no shuffle.
     """
-    spark = frame.sparkSession
-    spark.conf.set(BATCH_ROWS, str(TEXT_ROWS_PER_BATCH))
     new = StructType.fromJson(_parse_datatype_string(added).jsonValue())
     taken = {field.name.lower() for field in new.fields}
     kept = [c for c in (frame.columns if keep is None else keep) if c.lower() not in taken]
@@ -84,9 +93,7 @@ def add_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))
             given = pa.RecordBatch.from_arrays(
                 [columns[f"_in_{i}"] for i in range(len(inputs))], list(inputs)

@@ -20,17 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from staylens.llm.frames import ship
+from staylens.llm.frames import ship, slices
 from staylens.llm.words import byte_texts, words
 from staylens.sources.durable import durable, release
 
 TOP = 10
 # Bytes of queries that are searched in one pass over the documents.
 PART_BYTES = 1 << 20
-# Documents of one tree and of a leaf, and rows that are read at once.
+# Documents of one tree and of a leaf.
 TREE_DOCUMENTS = 4096
 LEAF_DOCUMENTS = 32
-TEXT_ROWS = 1024
 # Blocks of dimensions that have a radius each.
 RADIUS_BLOCKS = 32
 _EPS = float(np.finfo(np.float64).eps)
@@ -236,25 +235,23 @@ def _term_vectors(documents: DataFrame, numbers: dict[bytes, int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared()
-        for batch in batches:
-            for start in range(0, batch.num_rows, TEXT_ROWS):
-                part = batch.slice(start, TEXT_ROWS)
-                rows, sizes, terms, counts = [], [], [], []
-                for row, text in enumerate(byte_texts(part.column(1))):
-                    found = words(text or b"")
-                    if not found:
-                        continue
-                    own = [x for x in map(known.get, found) if x is not None]
-                    each, n = np.unique(np.array(own, np.int32), return_counts=True)
-                    rows.append(row)
-                    sizes.append(len(found))
-                    terms.append(each)
-                    counts.append(n)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(rows, pa.int32())), pa.array(sizes, pa.int64()),
-                     pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int64()))],
-                    ["doc_id", "n", "terms", "tfs"],
-                )
+        for part in slices(batches):
+            rows, sizes, terms, counts = [], [], [], []
+            for row, text in enumerate(byte_texts(part.column(1))):
+                found = words(text or b"")
+                if not found:
+                    continue
+                own = [x for x in map(known.get, found) if x is not None]
+                each, n = np.unique(np.array(own, np.int32), return_counts=True)
+                rows.append(row)
+                sizes.append(len(found))
+                terms.append(each)
+                counts.append(n)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(pa.array(rows, pa.int32())), pa.array(sizes, pa.int64()),
+                 pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int64()))],
+                ["doc_id", "n", "terms", "tfs"],
+            )
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, n long, terms array<int>, tfs array<long>"
@@ -275,14 +272,12 @@ class _Scoring:
         results = Results(len(self.queries), self.top)
         held: list[pa.RecordBatch] = []
         rows = 0
-        for batch in batches:
-            for start in range(0, batch.num_rows, TREE_DOCUMENTS):
-                part = batch.slice(start, TREE_DOCUMENTS)
-                if rows + part.num_rows > TREE_DOCUMENTS:
-                    self._search(held, results)
-                    held, rows = [], 0
-                held.append(part)
-                rows += part.num_rows
+        for part in slices(batches, TREE_DOCUMENTS):
+            if rows + part.num_rows > TREE_DOCUMENTS:
+                self._search(held, results)
+                held, rows = [], 0
+            held.append(part)
+            rows += part.num_rows
         self._search(held, results)
         query, place = np.nonzero(results.scores > 0)
         ids = pa.array(results.ids[query, place], mask=results.absent[query, place])

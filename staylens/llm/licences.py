@@ -38,7 +38,7 @@ class Chain:
 class NoticeAutomaton:
     """Suffix automaton of several sequences of words; its size is that of the notices."""
 
-    def __init__(self, names: dict[str, str], notices: dict[str, str]):
+    def __init__(self, names: dict[str, str], notices: dict[str, str | tuple[str, ...]]):
         self.ids: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link = [-1]
@@ -52,7 +52,8 @@ class NoticeAutomaton:
             state = 0
             for word in words(text.encode()):
                 state = self._extend(state, self.ids.setdefault(word, len(self.ids)))
-        for label, text in notices.items():
+        every = [(label, text) for label, own in notices.items() for text in ((own,) if isinstance(own, str) else own)]
+        for label, text in every:
             found = words(text.encode())
             state = 0
             for place, word in enumerate(found):
@@ -185,7 +186,7 @@ class NoticeAutomaton:
 def scan_licences(
     frame: DataFrame,
     names: dict[str, str],
-    notices: dict[str, str],
+    notices: dict[str, str | tuple[str, ...]],
     text: str = "text",
     keep: list[str] | None = None,
 ) -> DataFrame:
@@ -193,7 +194,8 @@ def scan_licences(
 
     ``n_words``; ``n_base``, ``first_word``, ``last_word``: number, smallest and largest start (in
     words) of names; ``base_labels`` and ``labels``: labels of names, and of names and covered
-    notices, distinct, sorted, comma-joined; ``score``: the best covered share of a notice, 1 where
+    notices, distinct, sorted, comma-joined (a label may have several notices, such as a header and the
+    whole licence); ``score``: the best covered share of a notice, 1 where
     a name stands. Null and empty texts have no words, empty labels and score 0. The automaton is
     broadcast: its size is that of the notices, whatever the data. No shuffle.
     """

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staylens.llm.frames import BATCH_ROWS, TEXT_ROWS_PER_BATCH, add_columns, unused
+from staylens.llm.frames import add_columns, slices, unused
 from staylens.llm.words import LOWER_ASCII, byte_texts
 from staylens.sources.durable import durable, release
 
@@ -43,10 +43,9 @@ def line_key(line: bytes, min_chars: int) -> bytes | None:
 
 def line_hashes(documents: DataFrame, min_chars: int = MIN_KEY_CHARS) -> DataFrame:
     """``doc_id``, ``text_hash`` and ``key`` of each distinct long line of each row."""
-    documents.sparkSession.conf.set(BATCH_ROWS, str(TEXT_ROWS_PER_BATCH))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             places: list[int] = []
             keys: list[bytes] = []
             for row, text in enumerate(byte_texts(batch.column(2))):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from staylens.llm.frames import BATCH_ROWS, TEXT_ROWS_PER_BATCH, add_columns, batch_rows, unused
+from staylens.llm.frames import add_columns, batch_rows, slices, unused
 from staylens.llm.words import byte_texts
 from staylens.sources.durable import durable, release
 
@@ -183,7 +183,7 @@ def _anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(length, gram)
-        for batch in batches:
+        for batch in slices(batches):
             rows, parts = [], []
             for row, text in enumerate(byte_texts(batch.column(1))):
                 if text is not None and len(text) >= length:
@@ -210,26 +210,24 @@ def _piece_rows(texts: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[bytes] = set()
-        for batch in batches:
-            for start in range(0, batch.num_rows, 64):
-                part = batch.slice(start, 64)
-                rows = []
-                tids = part.column(0).to_pylist()
-                for tid, text, runs in zip(tids, byte_texts(part.column(1)), part.column(2).to_pylist(), strict=True):
-                    for r in runs:
-                        piece = text[r["first"] : r["last"] + length]
-                        place = r["anchor"] - r["first"]
-                        digest = hashlib.blake2b(piece, digest_size=16, salt=place.to_bytes(4, "little")).digest()
-                        fresh = digest not in given
-                        if fresh:
-                            if len(given) >= 200_000:
-                                given.clear()
-                            given.add(digest)
-                        rows.append((tid, r["first"], r["last"], r["gram"], digest, place, piece if fresh else None))
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PIECE_TYPES, strict=True)], _PIECE_NAMES
-                    )
+        for part in slices(batches, 64):
+            rows = []
+            tids = part.column(0).to_pylist()
+            for tid, text, runs in zip(tids, byte_texts(part.column(1)), part.column(2).to_pylist(), strict=True):
+                for r in runs:
+                    piece = text[r["first"] : r["last"] + length]
+                    place = r["anchor"] - r["first"]
+                    digest = hashlib.blake2b(piece, digest_size=16, salt=place.to_bytes(4, "little")).digest()
+                    fresh = digest not in given
+                    if fresh:
+                        if len(given) >= 200_000:
+                            given.clear()
+                        given.add(digest)
+                    rows.append((tid, r["first"], r["last"], r["gram"], digest, place, piece if fresh else None))
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PIECE_TYPES, strict=True)], _PIECE_NAMES
+                )
 
     return texts.mapInArrow(
         run, "tid binary, first long, last long, gram long, digest binary, anchor int, piece binary"
@@ -317,7 +315,6 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -
     need not be found here: the caller knows them.
     """
     spark = texts.sparkSession
-    spark.conf.set(BATCH_ROWS, str(TEXT_ROWS_PER_BATCH))
     anchors = durable(_anchor_rows(texts, length, gram))
     places = anchors.select("tid", "gram", "anchor").distinct()
     again = durable(places.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))

@@ -12,9 +12,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from staylens.operators.ranking import rank_by_order
 from staylens.sources.durable import durable, release
 
 SHARDS = 40
@@ -70,16 +71,22 @@ def _bins(nodes: list[Node]) -> int:
     return max(MIN_BINS, BINS // len(nodes))
 
 
-def text_number(column: str) -> Column:
-    """Column: the first six bytes as a number, so that texts keep their order; null is 0."""
-    padded = F.rpad(F.substring(F.hex(F.coalesce(F.col(column), F.lit("")).cast("binary")), 1, 12), 12, "0")
-    return F.conv(padded, 16, 10).cast("long")
+def numbered_values(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """The rows with ``name``: the place of the column's whole value among its distinct values.
+
+    Values are in the order of their bytes, null (0) before all others. They are reduced to one each
+    before they are ranked; Spark decides by size how that is joined, and can split a hot value.
+    """
+    values = rows.where(F.col(column).isNotNull()).select(F.col(column).alias("_value")).distinct()
+    ranked = durable(rank_by_order(values, [], [F.col("_value")], "_place"))
+    joined = rows.join(ranked, F.col(column) == F.col("_value"), "left")
+    return joined.withColumn(name, F.coalesce("_place", F.lit(0)).cast("long")).drop("_value", "_place", column)
 
 
 def metadata(documents: DataFrame) -> DataFrame:
-    """``doc_id``, ``size``, ``text_crc32`` and the dimensions ``d_*`` of each row, and ``row``.
+    """``doc_id``, ``size``, ``text_crc32``, the dimensions ``d_size`` and ``d_id``, ``lang``, ``source``, ``row``.
 
-    Null attributes are 0, a null id is the smallest; ``row`` parts rows that are equal otherwise.
+    A null id is the smallest; ``row`` parts rows that are equal otherwise.
     """
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
@@ -88,8 +95,8 @@ def metadata(documents: DataFrame) -> DataFrame:
         size.alias("size"),
         crc.alias("text_crc32"),
         size.alias("d_size"),
-        text_number("lang").alias("d_lang"),
-        text_number("source").alias("d_source"),
+        "lang",
+        "source",
         F.coalesce("doc_id", F.lit(-(2**63))).alias("d_id"),
         crc.alias("d_crc"),
         F.monotonically_increasing_id().alias("row"),
@@ -232,7 +239,9 @@ def shard(documents: DataFrame, shards: int | None = SHARDS, target_bytes: int |
     null text has size 16 and the checksum of no bytes; a null id is kept and sorts first. An empty
     table gives no rows; shards beyond the number of rows stay empty.
     """
-    rows = durable(metadata(documents))
+    described = durable(metadata(documents))
+    rows = durable(numbered_values(numbered_values(described, "lang", "d_lang"), "source", "d_source"))
+    release(described)
     leaves = leaves_for(rows, target_bytes) if target_bytes else shards
     dimensions = ["d_size", "d_lang", "d_source", "d_id"]
     placed = grow(rows, dimensions, ["d_id", "d_crc", "row"], leaves)

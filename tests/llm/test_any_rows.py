@@ -99,6 +99,38 @@ def test_inner_names_as_columns(spark, odd, odd_rows):
     assert whitening.whiten(with_inner_names(vectors, whitening)).count() == 3
 
 
+def test_session_settings_stay(spark, odd, empty):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "777")
+    try:
+        items = spark.createDataFrame(BENCHMARK, "item_id long, text string")
+        lines.drop_repeated_lines(odd).collect()
+        simhash.near_duplicates(odd).collect()
+        passages.drop_passages(odd).collect()
+        decontaminate.find_passages(odd, items).collect()
+        lexical.rank_documents(odd, items).collect()
+        vectors = spark.createDataFrame([(1, [1.0, 2.0]), (2, [2.0, 4.1])], "vec_id long, embedding array<float>")
+        embeddings.near_duplicates(vectors).collect()
+        whitening.whiten(vectors).collect()
+        assert spark.conf.get(key) == "777"
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_sources_that_begin_alike_are_parted(spark):
+    """Equal in their first 40 bytes: the tree splits at the source that differs behind them."""
+    prefix = "https://www.example.com/a/very/long/path"
+    rows = [(i, "x" * 50, "en", f"{prefix}/{i % 2}", 50) for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    described = shards.numbered_values(shards.metadata(frame).drop("lang"), "source", "d_source")
+    placed = shards.grow(described, ["d_source"], ["d_id", "row"], 2)
+    parted = {r.node: r.sources for r in placed.groupBy("node").agg(F.collect_set("d_source").alias("sources")).collect()}
+    assert sorted(map(tuple, parted.values())) == [(1,), (2,)]
+    nulls = frame.withColumn("source", F.when(F.col("doc_id") % 4 > 0, F.col("source")))
+    assert {r.d_source for r in shards.numbered_values(shards.metadata(nulls), "source", "d_source").collect()} == {0, 1, 2}
+
+
 def test_rows_without_an_id_join_others(spark):
     a, between, b = [1.0, 0.0], [1.0, 0.4], [1.0, 0.9]
     rows = [(7, a), (None, between), (3, b), (None, [0.0, 1.0]), (None, [0.0, 1.0]), (9, [-1.0, 0.0])]

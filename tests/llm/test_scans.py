@@ -241,7 +241,7 @@ def test_matching_statistics_and_names_on_random_words():
 
 
 def test_a_notice_with_small_changes_is_covered(spark):
-    notice = licence_texts.NOTICES["bsd"]
+    notice = licence_texts.NOTICES["bsd"][0]
     changed = notice.replace("the above copyright", "this copyright").replace("binary forms", "binary form")
     rows = [(1, "before " * 50 + changed + " after"), (2, notice[:80]), (3, "the software is in use and the code")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
@@ -250,6 +250,29 @@ def test_a_notice_with_small_changes_is_covered(spark):
     assert found[2].labels == "" and found[3].labels == ""
 
 
+def test_whole_licences_are_found_in_long_texts(spark):
+    """Each licence's texts, one word in thirty changed, between other words: its label and none of another family."""
+    rng = random.Random(11)
+    rows, expected = [], {}
+    for label, own in licence_texts.NOTICES.items():
+        for text in (own,) if isinstance(own, str) else own:
+            changed = text.split()
+            for i in range(len(changed) // 2, len(changed), 30):
+                changed[i] = "changed" if len(changed) > 30 else changed[i]
+            around = [" ".join(rng.choices(["int", "return", "value"], k=300)) for _ in range(2)]
+            expected[len(rows)] = label
+            rows.append((len(rows), f"{around[0]} Copyright 2020 {' '.join(changed)} {around[1]}"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = licences.scan_licences(frame, licence_texts.NAMES, licence_texts.NOTICES).collect()
+    assert all(expected[r.doc_id] in r.labels.split(",") for r in found)
+    # Notices of one family share most of their words, so each may cover the others.
+    families = [{"agpl", "gpl", "lgpl"}, {"cc-by", "cc-by-sa", "cc-by-nc"}]
+    for r in found:
+        own = {expected[r.doc_id]}.union(*[f for f in families if expected[r.doc_id] in f])
+        assert set(r.labels.split(",")) <= own, r
+    assert all(0.6 <= r.score <= 1 for r in found)
+
+
 def test_part_of_a_name_is_no_label():
     automaton = licences.NoticeAutomaton(licence_texts.NAMES, licence_texts.NOTICES)
     scan = lambda text: automaton.scan(text.lower().encode().split())
