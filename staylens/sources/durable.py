@@ -8,8 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """This application's folder, below ``spark.checkpoint.dir`` or else below the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """This application's folder, below ``spark.checkpoint.dir`` or else below the warehouse.
+
+    On a cluster a warehouse on the machine's own disk is no shared folder, and is refused.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = spark.conf.get("spark.sql.warehouse.dir")
+        if base.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/staylens-{spark.sparkContext.applicationId}"
 
 
