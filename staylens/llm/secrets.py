@@ -199,14 +199,28 @@ def judge(rows: DataFrame, model: RandomForestClassificationModel | None) -> Dat
 
 
 def scan_secrets(
-    documents: DataFrame, dictionary: DataFrame, learn_from: Column, limit: float = 0.5
+    documents: DataFrame,
+    dictionary: DataFrame,
+    learn_from: Column,
+    limit: float = 0.5,
+    labelled: DataFrame | None = None,
 ) -> DataFrame:
     """``doc_id``, ``place``, ``finding_sha256``, ``length``, ``label``, ``probability``, ``is_secret``.
 
-    One row a candidate. Findings of documents for which ``learn_from`` holds and that a rule
-    decides are the labelled findings. Secrets themselves are not returned, only their digests.
+    One row a candidate. Labelled findings are those of ``labelled`` (``finding_sha256``, ``label`` 0 or 1,
+    as people have judged them; a digest judged both ways is none) and, where that says nothing, those
+    that a rule decides. The forest learns from the labelled findings of documents for which
+    ``learn_from`` holds. Secrets themselves are not returned, only their digests.
     """
-    held = findings(documents, dictionary).withColumn("label", rule_label())
+    held = findings(documents, dictionary)
+    label = rule_label()
+    if labelled is not None:
+        judged = labelled.where("label in (0, 1)").groupBy(F.col("finding_sha256").alias("_judged")).agg(
+            F.min("label").cast("double").alias("_low"), F.max("label").cast("double").alias("_high")
+        ).where("_low = _high")
+        held = held.join(judged, F.sha2("candidate", 256) == F.col("_judged"), "left")
+        label = F.coalesce("_low", label)
+    held = held.withColumn("label", label)
     model = train(held.where(learn_from & F.col("label").isNotNull()))
     return judge(held, model).select(
         "doc_id",

@@ -252,6 +252,38 @@ def test_digitless_and_adjacent_secrets_are_found(spark):
     assert {r.finding_sha256 for r in found if r.is_secret} == {brute.sha(p) for p in planted}
 
 
+def hard_findings(rng, n):
+    """Findings whose truth the rules do not know: keys without a name, and ids that look like them."""
+    mixed = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz0123456789"
+    rows, truth = [], {}
+    for i in range(n):
+        key = "".join(rng.choices(mixed, k=32))
+        key = key if any(c.isdigit() for c in key) else key[:-1] + "7"
+        uid = "-".join("".join(rng.choices("0123456789abcdef", k=k)) for k in (8, 4, 4, 4, 12))
+        build = f"build-{rng.randrange(10**6)}-{''.join(rng.choices('0123456789', k=8))}"
+        truth |= {key: 1, uid: 0, build: 0}
+        rows.append((i, f"send {key} with it\nrequest {uid} came from {build} today"))
+    return rows, truth
+
+
+def test_judged_findings_are_learned_from(spark):
+    """Known truth of findings that no rule decides: precision and recall on documents not learned from."""
+    rows, truth = hard_findings(random.Random(12), 240)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    none = spark.createDataFrame([], "word string")
+    undecided = secrets.findings(frame, none).where(secrets.rule_label().isNotNull())
+    assert undecided.count() == 0
+    judged = [(brute.sha(c), label) for c, label in truth.items()] + [(brute.sha("x"), 1), (brute.sha("x"), 0), (None, None)]
+    labelled = spark.createDataFrame(judged, "finding_sha256 string, label int")
+    found = secrets.scan_secrets(frame, none, F.col("doc_id") % 3 != 1, labelled=labelled).collect()
+    held_out = [r for r in found if r.doc_id % 3 == 1]
+    known = {brute.sha(c): label for c, label in truth.items()}
+    assert len(held_out) == 80 * 3
+    right = sum(r.is_secret and known[r.finding_sha256] for r in held_out)
+    assert right / sum(r.is_secret for r in held_out) >= 0.95
+    assert right / 80 >= 0.95
+
+
 def test_contexts_reach_over_other_candidates(spark):
     texts = [
         'oauth2_client_secret=0a1b2c3d4e5f6 then AWS_S3_SECRET_ACCESS_KEY: 1a1b2c3d4e5f6',
