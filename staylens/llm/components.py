@@ -15,7 +15,8 @@ def components(links: DataFrame) -> DataFrame:
     their ends and contracts the links to those ends, until none is left. Tables are written after
     each step and read again, so lineage stays short; only their row counts reach the driver. The
     links of a hub are reduced to a minimum before they are shuffled, and joins are between tables,
-    so Spark can split a hub's rows.
+    so Spark can split a hub's rows. Links with a null end or from a node to itself join nothing and
+    give no node; without links there are no rows.
     """
     live = durable(
         links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
