@@ -4,15 +4,13 @@ A node that is to hold several leaves is split along its widest dimension, at th
 its bytes in proportion to the leaves on either side (the median where they are equal). The place is
 found with histograms: each pass counts the bytes of every open node in bounded bins, keeps the bin
 that holds the place and cuts it finer in the next pass, until one value is left; ties are parted
-along the next dimension of a total order. Only the bins reach the driver, whatever the data.
+along the next dimension of a total order. Open nodes, their bins and their cuts are tables: the
+driver learns how many nodes are open, and nothing else that grows with the number of leaves.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-from decimal import Decimal
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from staylens.operators.ranking import rank_by_order
@@ -20,57 +18,13 @@ from staylens.sources.durable import durable, release
 
 SHARDS = 40
 ROW_BYTES = 16
-# Bins that one pass brings to the driver, over all open nodes; a node has at least MIN_BINS.
+# Bins of one pass over all open nodes; a node has at least MIN_BINS.
 BINS = 1 << 15
 MIN_BINS = 8
 # Rows of a block that are numbered together.
 BLOCK_ROWS = 128
 
 
-@dataclass
-class Node:
-    """A part of the rows, named by its first leaf, and the search for the place of its split."""
-
-    leaf: int
-    leaves: int
-    order: list[str] = field(default_factory=list)
-    # The smallest key, dimension by dimension, that goes to the upper part.
-    cut: list[int] = field(default_factory=list)
-    # While the cut is sought: its range in the current dimension, and the bytes wanted below it.
-    low: int = 0
-    high: int = 0
-    wanted: float = 0.0
-
-    def parts(self) -> list[Node]:
-        below = self.leaves // 2
-        return [Node(self.leaf, below), Node(self.leaf + below, self.leaves - below)]
-
-
-def _nodes(rows: DataFrame, nodes: list[Node], names: list[str]) -> DataFrame:
-    """The rows of these nodes, each with its node's search: ``c_i`` cuts, ``v_i`` own key."""
-    depth = max(len(n.order) for n in nodes)
-    table = [
-        (
-            n.leaf, n.leaves // 2, len(n.cut), n.low, n.high, max(1, -(-(n.high - n.low + 1) // _bins(nodes))),
-            *[names.index(d) + 1 for d in n.order + n.order[-1:] * (depth - len(n.order))],
-            *[*n.cut, *[None] * (depth - len(n.cut))],
-        )
-        for n in nodes
-    ]
-    columns = ["node long", "below int", "n_cut int", "low long", "high long", "width decimal(20,0)"]
-    columns += [f"o_{i} int" for i in range(depth)] + [f"c_{i} long" for i in range(depth)]
-    table = [(*r[:5], Decimal(r[5]), *r[6:]) for r in table]
-    searches = rows.sparkSession.createDataFrame(table, ", ".join(columns))
-    key = F.array(*names)
-    # At most one row a shard: a broadcast of bounded size.
-    joined = rows.join(F.broadcast(searches), "node")
-    return joined.withColumns({f"v_{i}": F.element_at(key, F.col(f"o_{i}")) for i in range(depth)})
-
-
-def _bins(nodes: list[Node]) -> int:
-    return max(MIN_BINS, BINS // len(nodes))
-
-
 def numbered_values(rows: DataFrame, column: str, name: str) -> DataFrame:
     """The rows with ``name``: the place of the column's whole value among its distinct values.
 
@@ -107,102 +61,139 @@ def grow(rows: DataFrame, dimensions: list[str], ties: list[str], leaves: int) -
     """The rows (with ``size``) and ``node``, the leaf that each falls into.
 
     ``dimensions`` are compared by their spread relative to that of all rows; ``ties`` complete
-    every order, the last one being unique. Each level of the tree is a table of its own.
+    every order, the last one being unique. Each level of the tree is a table of its own. A node is
+    named by its first leaf; one without rows is not split, its leaves stay empty.
     """
-    names = list(dict.fromkeys([*dimensions, *ties]))
     placed = durable(rows.withColumn("node", F.lit(0).cast("long")))
-    opened = [Node(0, leaves)] if leaves > 1 else []
-    extremes = [f(d).alias(f"{f.__name__}_{d}") for d in names for f in (F.min, F.max)]
+    extremes = [f(d).alias(f"{f.__name__}_{d}") for d in dict.fromkeys([*dimensions, *ties]) for f in (F.min, F.max)]
     whole = placed.agg(*extremes).first()
-    ranges = {d: (whole[f"min_{d}"], whole[f"max_{d}"]) for d in names}
-    if whole[0] is None:
+    if leaves < 2 or whole[0] is None:
         return placed
-    while opened:
-        bounds = [f(d).alias(f"{f.__name__}_{d}") for d in dimensions for f in (F.min, F.max)]
-        seen = {
-            r["node"]: r
-            for r in placed.groupBy("node").agg(F.sum("size").alias("bytes"), *bounds).collect()
-        }
-        split = []
-        for n in opened:
-            found = seen.get(n.leaf)
-            if found is None:  # no rows: its leaves stay empty
-                continue
-            spread = {
-                d: (found[f"max_{d}"] - found[f"min_{d}"]) / max(1, whole[f"max_{d}"] - whole[f"min_{d}"])
-                for d in dimensions
-            }
-            widest = max(dimensions, key=lambda d, s=spread: (s[d], -dimensions.index(d)))
-            n.order = [widest, *[t for t in ties if t != widest]]
-            n.low, n.high = found[f"min_{widest}"], found[f"max_{widest}"]
-            n.wanted = found["bytes"] * (n.leaves // 2) / n.leaves
-            split.append(n)
-        if not split:
-            break
-        _seek(placed, split, names, ranges)
-        joined = _nodes(placed, split, names)
-        depth = max(len(n.order) for n in split)
-        below = F.lit(False)
-        for i in reversed(range(depth)):
-            below = F.col(f"c_{i}").isNotNull() & (
-                (F.col(f"v_{i}") < F.col(f"c_{i}")) | ((F.col(f"v_{i}") == F.col(f"c_{i}")) & below)
-            )
-        moved = joined.withColumn("node", F.when(below, F.col("node")).otherwise(F.col("node") + F.col("below")))
-        done = placed.where(~F.col("node").isin([n.leaf for n in split]))
-        deeper = durable(moved.select(placed.columns).unionByName(done))
+    opened = rows.sparkSession.range(1).select(
+        F.lit(0).cast("long").alias("node"), F.lit(leaves).cast("long").alias("leaves")
+    )
+    parent = None
+    while True:
+        splits = durable(_searches(placed, opened, dimensions, len(ties), whole))
+        release(parent)
+        if splits.isEmpty():
+            release(splits)
+            return placed
+        splits = _seek(placed, splits, dimensions, ties, whole)
+        keys = _keys(dimensions, ties)
+        below = F.col("up")
+        for i in reversed(range(len(keys))):
+            lower = (keys[i] < F.col(f"c_{i}")) | ((keys[i] == F.col(f"c_{i}")) & below)
+            below = F.when(F.col("n_cut") > i, lower).otherwise(F.col("up"))
+        # Rows of closed nodes have no split and stay.
+        node = F.when(F.col("below").isNull() | below, F.col("node")).otherwise(F.col("node") + F.col("below"))
+        others = [c for c in placed.columns if c != "node"]
+        deeper = durable(placed.join(splits, "node", "left").select(*others, node.alias("node")))
         release(placed)
-        placed = deeper
-        opened = [part for n in split for part in n.parts() if part.leaves > 1]
-    return placed
-
-
-def _seek(
-    rows: DataFrame, seeking: list[Node], names: list[str], ranges: dict[str, tuple[int, int]]
-) -> None:
-    """Finds the cuts of all nodes at once, a finer histogram each pass."""
-    while seeking:
-        joined = _nodes(rows, seeking, names)
-        depth = max(len(n.order) for n in seeking)
-        inside, value = F.lit(True), F.col("v_0")
-        for i in range(depth):
-            inside &= F.col(f"c_{i}").isNull() | (F.col(f"v_{i}") == F.col(f"c_{i}"))
-            value = F.when(F.col("n_cut") == i, F.col(f"v_{i}")).otherwise(value)
-        # Decimals: the range of an id or a checksum may exceed a long's.
-        offset = value.cast("decimal(20,0)") - F.col("low").cast("decimal(20,0)")
-        bins = (
-            joined.where(inside)
-            .select("node", "size", "low", "high", value.alias("value"),
-                    F.floor(offset / F.col("width")).cast("long").alias("bin"))
-            .where((F.col("value") >= F.col("low")) & (F.col("value") <= F.col("high")))
-            .groupBy("node", "bin")
+        placed, parent = deeper, splits
+        upper = F.struct((F.col("node") + F.col("below")).alias("node"), (F.col("leaves") - F.col("below")).alias("leaves"))
+        lower = F.struct("node", F.col("below").alias("leaves"))
+        opened = splits.select(F.inline(F.array(lower, upper))).where("leaves > 1")
+
+
+def _keys(dimensions: list[str], ties: list[str]) -> list[Column]:
+    """What a row is compared by: its value along the node's axis, then the ties."""
+    return [F.get(F.array(*dimensions), F.col("axis")), *map(F.col, ties)]
+
+
+def _searches(placed: DataFrame, opened: DataFrame, dimensions: list[str], ties: int, whole) -> DataFrame:
+    """A row for each open node that has rows: the start of the search for the place of its split.
+
+    ``axis`` is its widest dimension, ``wanted`` the bytes sought below the place among the keys from
+    ``low`` to ``high``; ``c_i`` are the ``n_cut`` parts of the cut found so far, and a row equal to
+    a whole cut goes below if ``up``.
+    """
+    bounds = [f(d).alias(f"{f.__name__}_{d}") for d in dimensions for f in (F.min, F.max)]
+    seen = placed.groupBy("node").agg(F.sum("size").alias("bytes"), *bounds).join(opened, "node")
+    spreads = [
+        (F.col(f"max_{d}").cast("double") - F.col(f"min_{d}").cast("double"))
+        / float(max(1, whole[f"max_{d}"] - whole[f"min_{d}"]))
+        for d in dimensions
+    ]
+    spread = F.array(*spreads)
+    described = seen.withColumn("axis", (F.array_position(spread, F.array_max(spread)) - 1).cast("int"))
+    below = F.floor(F.col("leaves") / 2).cast("long")
+    return described.select(
+        "node",
+        "leaves",
+        below.alias("below"),
+        "axis",
+        (F.col("bytes") * (below / F.col("leaves"))).alias("wanted"),
+        F.get(F.array(*[f"min_{d}" for d in dimensions]), F.col("axis")).cast("long").alias("low"),
+        F.get(F.array(*[f"max_{d}" for d in dimensions]), F.col("axis")).cast("long").alias("high"),
+        F.lit(0).alias("n_cut"),
+        *[F.lit(None).cast("long").alias(f"c_{i}") for i in range(ties + 1)],
+        F.lit(False).alias("up"),
+        F.lit(True).alias("seeking"),
+    )
+
+
+def _seek(placed: DataFrame, splits: DataFrame, dimensions: list[str], ties: list[str], whole) -> DataFrame:
+    """The table of searches with all cuts found, all nodes at once; a finer histogram each pass."""
+    keys = _keys(dimensions, ties)
+    while True:
+        nodes = splits.where("seeking").count()
+        if not nodes:
+            return splits
+        bins = max(MIN_BINS, BINS // nodes)
+        inside, value = F.lit(True), keys[0]
+        for i, key in enumerate(keys):
+            inside &= (F.col("n_cut") <= i) | (key == F.col(f"c_{i}"))
+            value = F.when(F.col("n_cut") == i, key).otherwise(value)
+        # Decimals, for the range of an id may exceed a long's; whole division, for bins must not be rounded.
+        width = f"((cast(high as decimal(20,0)) - cast(low as decimal(20,0))) div cast({bins} as decimal(20,0)) + 1)"
+        offset = "(cast(value as decimal(20,0)) - cast(low as decimal(20,0)))"
+        counted = (
+            placed.join(splits.where("seeking"), "node")
+            .where(inside)
+            .select("node", "wanted", "size", "low", "high", value.alias("value"))
+            .where("value between low and high")
+            .withColumn("bin", F.expr(f"{offset} div cast({width} as decimal(20,0))"))
+            .groupBy("node", "wanted", "bin")
             .agg(
                 F.sum("size").alias("bytes"), F.count("*").alias("n"),
                 F.min("value").alias("least"), F.max("value").alias("most"),
             )
-            .orderBy("node", "bin").collect()
         )
-        by_node: dict[int, list] = {}
-        for r in bins:
-            by_node.setdefault(r["node"], []).append(r)
-        left = []
-        for n in seeking:
-            held = by_node[n.leaf]
-            for place, r in enumerate(held):
-                if n.wanted <= r["bytes"] or place == len(held) - 1:
-                    break
-                n.wanted -= r["bytes"]
-            if r["least"] < r["most"]:
-                n.low, n.high = r["least"], r["most"]
-                left.append(n)
-                continue
-            # One value holds the place: rows of this value are parted by the next dimension.
-            n.cut.append(r["least"])
-            if r["n"] > 1 and len(n.cut) < len(n.order):
-                n.low, n.high = ranges[n.order[len(n.cut)]]
-                left.append(n)
-            elif n.wanted * 2 >= r["bytes"]:
-                n.cut[-1] += 1  # a single row: it goes to the side where more of it belongs
-        seeking = left
+        # A window holds the bins of one node, which are bounded.
+        upto = F.sum("bytes").over(Window.partitionBy("node").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+        summed = counted.withColumn("upto", upto)
+        found = F.struct("bin", (F.col("upto") - F.col("bytes")).alias("before"), "bytes", "n", "least", "most")
+        reached = F.when(F.col("upto") >= F.col("wanted"), found)
+        chosen = summed.groupBy("node").agg(F.coalesce(F.min(reached), F.max(found)).alias("bin"))
+        step = durable(splits.join(chosen, "node", "left").select(*_narrowed(ties, whole)))
+        release(splits)
+        splits = step
+
+
+def _narrowed(ties: list[str], whole) -> list[Column]:
+    """The columns of a search after a pass that chose ``bin``; null leaves it as it is."""
+    least, most = F.col("bin.least"), F.col("bin.most")
+    wanted = F.when(F.col("bin").isNotNull(), F.col("wanted") - F.col("bin.before")).otherwise(F.col("wanted"))
+    narrower = F.col("bin").isNotNull() & (least < most)
+    # One value holds the place: rows of this value are parted by the next dimension.
+    one = F.col("bin").isNotNull() & (least == most)
+    further = one & (F.col("bin.n") > 1) & (F.col("n_cut") < len(ties))
+    lows, highs = (F.array(*[F.lit(whole[f"{end}_{t}"]).cast("long") for t in ties]) for end in ("min", "max"))
+    return [
+        F.col("node"), F.col("leaves"), F.col("below"), F.col("axis"),
+        wanted.alias("wanted"),
+        F.when(narrower, least).when(further, F.get(lows, F.col("n_cut"))).otherwise(F.col("low")).alias("low"),
+        F.when(narrower, most).when(further, F.get(highs, F.col("n_cut"))).otherwise(F.col("high")).alias("high"),
+        F.when(one, F.col("n_cut") + 1).otherwise(F.col("n_cut")).alias("n_cut"),
+        *[
+            F.when(one & (F.col("n_cut") == i), least).otherwise(F.col(f"c_{i}")).alias(f"c_{i}")
+            for i in range(len(ties) + 1)
+        ],
+        # A single row goes to the side where more of it belongs.
+        F.when(one & ~further, wanted * 2 >= F.col("bin.bytes")).otherwise(F.col("up")).alias("up"),
+        (narrower | further).alias("seeking"),
+    ]
 
 
 def numbered(rows: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
@@ -211,9 +202,11 @@ def numbered(rows: DataFrame, group: str, order: list[str], name: str) -> DataFr
     A group is cut by hash into blocks of about ``BLOCK_ROWS`` rows; blocks are numbered inside, and
     offset by the sizes of those before. So no task gets a whole group.
     """
-    counted = rows.groupBy(group).agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("_blocks"))
+    # A table, so that its size is known when Spark decides whether to broadcast it.
+    counted = durable(rows.groupBy(group).agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("_blocks")))
     block = F.pmod(F.xxhash64(*order), F.col("_blocks"))
-    cut = durable(rows.join(F.broadcast(counted), group).withColumn("_block", block).drop("_blocks"))
+    cut = durable(rows.join(counted, group).withColumn("_block", block).drop("_blocks"))
+    release(counted)
     sizes = cut.groupBy(group, "_block").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
     offsets = durable(sizes.select(group, "_block", F.coalesce(before, F.lit(0)).alias("_before")))
@@ -248,4 +241,5 @@ def shard(documents: DataFrame, shards: int | None = SHARDS, target_bytes: int |
     release(rows)
     named = placed.select("doc_id", "size", "text_crc32", F.col("node").cast("int").alias("shard"), "row")
     result = numbered(named, "shard", ["doc_id", "row"], "slot")
+    release(placed)
     return result.select("doc_id", "size", "text_crc32", "shard", "slot")

@@ -55,6 +55,31 @@ def test_equal_rows_are_parted(spark):
     assert max(sizes.values()) - min(sizes.values()) <= 40
 
 
+def test_many_shards_bring_no_nodes_to_the_driver(spark, monkeypatch):
+    """5,000 leaves: no collect while the tree grows has more than a row."""
+    docs = spark.range(20_000).selectExpr(
+        "id * 7919 % 20011 as doc_id", "repeat('x', cast(id % 37 as int)) as text",
+        "cast(id % 3 as string) as lang", "cast(id % 5 as string) as source", "id as n_chars",
+    )
+    total = docs.selectExpr("sum(octet_length(text) + 16) as b").first().b
+    seen = []
+    collect = type(docs).collect
+
+    def counted(frame):
+        rows = collect(frame)
+        seen.append(len(rows))
+        return rows
+
+    monkeypatch.setattr(type(docs), "collect", counted)
+    result = shards.shard(docs, target_bytes=total // 5000 + 1)
+    assert max(seen) <= 1
+    monkeypatch.undo()
+    sizes = result.groupBy("shard").agg(F.sum("size").alias("bytes")).collect()
+    assert max(r.shard for r in sizes) in range(4900, 5000)
+    assert max(r.bytes for r in sizes) <= total / 5000 + 2 * (36 + 16)
+    assert result.count() == 20_000
+
+
 # ---- components
 
 
