@@ -16,6 +16,7 @@ from staylens.functions.text import (
     capacity,
     capacity_n,
     contains_any,
+    has_match_key,
     int_or,
     join_spans,
     match_key,
@@ -29,6 +30,7 @@ __all__ = [
     "capacity",
     "capacity_n",
     "contains_any",
+    "has_match_key",
     "int_or",
     "join_spans",
     "korean_date",

@@ -81,3 +81,8 @@ def int_or(text: Column | str, default: int = fv.DEFAULT_ADULTS) -> Column:
 def match_key(name: Column | str) -> Column:
     """Lodging name without case, white space and punctuation: the cross-platform match key."""
     return F.lower(F.regexp_replace(as_column(name), r"(?U)[\s\p{P}]+", ""))
+
+
+def has_match_key(name: Column | str) -> Column:
+    """Whether the match key is not empty. Ends at the first character that counts, so it is cheap to filter by."""
+    return as_column(name).rlike(r"(?U)[^\s\p{P}]")

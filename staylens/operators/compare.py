@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from staylens import fixed_values as fv
 from staylens.functions.dates import nights, price_per_night
-from staylens.functions.text import match_key
+from staylens.functions.text import has_match_key, match_key
 from staylens.operators.ranking import rank_by_order
 
 
@@ -76,12 +76,18 @@ def _mixed(n_per_night: Column, n: Column) -> Column:
     return (n_per_night > 0) & (n_per_night < n)
 
 
-def _lodgings(listings: DataFrame) -> DataFrame:
-    """Comparable listings with ``match_key`` and ``region_key``; those without either match nothing."""
-    keyed = comparable(listings).withColumns(
+def _matchable(listings: DataFrame) -> DataFrame:
+    """Comparable listings with a name and a region to match by; the others match nothing.
+
+    Filtering by the keys themselves would compute them twice, once in the filter.
+    """
+    return comparable(listings).filter(has_match_key("name") & has_match_key("location"))
+
+
+def _keyed(listings: DataFrame) -> DataFrame:
+    return listings.withColumns(
         {"match_key": match_key("name"), "region_key": match_key("location")}
     )
-    return keyed.filter("match_key <> '' AND region_key <> ''")
 
 
 def _spelling() -> Column:
@@ -129,13 +135,17 @@ def match_lodgings(
     of a lodging's spellings. Listings whose name or region is missing or only punctuation match
     nothing. ``stay`` names further columns that must be equal, such as the dates, and ``price`` the
     column whose lowest value counts. ``n_per_night``
-    of the ``n`` offers are known to be priced for one night.
+    of the ``n`` offers are known to be priced for one night. Keys are computed once per spelling,
+    from what each task has aggregated, not once per listing.
     """
-    return _lodgings(listings).groupBy("match_key", "region_key", *stay, "source").agg(
+    spelled = _matchable(listings).groupBy("name", "location", *stay, "source").agg(
+        F.min(price).alias(price), F.count("*").alias("n"), _per_night().alias("n_per_night")
+    )
+    return _keyed(spelled).groupBy("match_key", "region_key", *stay, "source").agg(
         _spelling().alias("location"),
         F.min(price).alias(price),
-        F.count("*").alias("n"),
-        _per_night().alias("n_per_night"),
+        F.sum("n").alias("n"),
+        F.sum("n_per_night").alias("n_per_night"),
     )
 
 
@@ -180,7 +190,7 @@ def pivot_prices(
         F.min(F.when(F.col("source") == name, F.col(price))).alias(name) for name in platforms
     ]
     mixed = _mixed(_per_night(), F.count("*"))
-    grouped = _lodgings(listings).groupBy("match_key", "region_key", *stay)
+    grouped = _keyed(_matchable(listings)).groupBy("match_key", "region_key", *stay)
     return grouped.agg(_spelling().alias("location"), *lowest, mixed.alias("mixed_basis")).drop(
         "region_key"
     )

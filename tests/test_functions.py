@@ -134,6 +134,11 @@ CASES = {
         lambda: fn.match_key("x"),
         [("Hotel  A-1", "hotela1"), ("호텔·신라 (서울)", "호텔신라서울"), ("", ""), (None, None)],
     ),
+    "has_match_key": (
+        "string",
+        lambda: fn.has_match_key("x"),
+        [("Hotel", True), ("-·( 1", True), ("호텔", True), (" \u3000—!?", False), ("", False), (None, None)],
+    ),
     "contains_any": (
         "string",
         lambda: fn.contains_any("x", fv.SOLD_OUT_WORDS),
