@@ -202,6 +202,38 @@ def test_training_without_labels_of_a_class():
     assert toxicity.train(toxicity.Sample([(b"a b", 1, None)] * 3)).scores([toxicity.word_ids(b"a")])[0] > 0.9
 
 
+def test_training_takes_every_row(spark, monkeypatch):
+    """More rows of a class than one part takes, and texts of any length."""
+    monkeypatch.setattr(toxicity, "PART_ROWS", 1000)
+    learned = []
+    added_up = toxicity._added_up
+
+    def noted(*given):
+        learned.append(added_up(*given))
+        return learned[-1]
+
+    monkeypatch.setattr(toxicity, "_added_up", noted)
+    documents = spark.range(3060).selectExpr(
+        "id doc_id", "concat('plain words ', id, if(id >= 3000, repeat(' other', 14000) || ' awful', '')) text", "'en' lang")
+    labels = documents.selectExpr("doc_id", "int(doc_id >= 3000) toxic")
+    model = toxicity.train_on(documents, labels)
+    held = documents.selectExpr("doc_id >= 3000 toxic", "pmod(xxhash64(doc_id, text), 5) = 0 held").where("held")
+    left = {r.toxic: n - r["count"] for r in held.groupBy("toxic").count().collect() for n in [60 if r.toxic else 3000]}
+    # Three parts; every row of the smaller class is in each of them.
+    assert {total[0] for total in learned} == {left[False] + 3 * left[True]}
+    assert len(learned) >= toxicity.EPOCHS
+    calm, awful = model.scores([toxicity.word_ids(b"plain words 7" + end) for end in (b"", b" other" * 14000 + b" awful")])
+    assert calm < awful
+
+
+def test_training_on_tables_without_a_class(spark, empty):
+    labels = empty.selectExpr("doc_id", "1 toxic")
+    assert toxicity.train_on(empty, labels).scores([toxicity.word_ids(b"a")])[0] < 0.1
+    documents = spark.createDataFrame([(1, "a b", None), (2, None, "en")], "doc_id long, text string, lang string")
+    model = toxicity.train_on(documents, documents.selectExpr("doc_id", "1 toxic"))
+    assert model.scores([toxicity.word_ids(b"a")])[0] > 0.9
+
+
 def test_scores_do_not_depend_on_the_batch():
     rng = random.Random(8)
     model = toxicity.TextCnn.start(1)
