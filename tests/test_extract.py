@@ -267,6 +267,23 @@ def test_plain_tags_are_taken_as_the_standard_parser_takes_them(monkeypatch):
     assert found == [seen(html) for html in pages]
 
 
+def test_a_tag_written_alike_is_taken_apart_once(monkeypatch):
+    """Names, attributes and selectors are looked at once for each way a tag is written, whatever the pages."""
+    seen = []
+    tag = markup._Selectors.tag
+    monkeypatch.setattr(markup._Selectors, "tag", lambda self, written: seen.append(written) or tag(self, written))
+    values = markup._column(markup.Field("div.a > span:first-child", many=True))
+    selectors = markup._Selectors([values])
+    for n in range(50):
+        page = markup._Page(f'<div class="a x"><span>{n}</span><span>no</span></div><div><span>no</span></div>', selectors)
+        values.add(page, -1)
+    assert values.values == [str(n) for n in range(50)]
+    assert sorted(seen) == sorted(['div class="a x"', "span", "/span", "/div", "div"])
+    monkeypatch.setattr(markup, "_KNOWN_TAGS", 2)
+    values.add(markup._Page('<p><i><b><u><div class="a"><span>50</span></div>', selectors), -1)
+    assert values.values[-1] == "50" and len(selectors.known) <= 5
+
+
 def test_attributes_are_kept_where_a_selector_needs_them(spark):
     """Each kind of selector and attribute, with and without tags of its own, in one reading."""
     html = '<ul id="u"><li class="x y" title="t"><a href="1">a</a></li><li><b data-k="v w">b</b></li></ul>'
