@@ -11,11 +11,14 @@ column, sorts the documents' suffixes from here by that symbol (stably, on top o
 column before: a step of the Burrows-Wheeler transform) and updates the common prefixes of
 neighbours. Windows of different columns cannot be equal, so columns need not be merged with each
 other. Two neighbours with a common prefix of ``length`` bytes are equal windows.
+
+The same on words instead of bytes finds the texts that share a run of words with another text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,6 +32,8 @@ from staylens.sources.durable import durable, release
 
 LENGTH = 400
 GRAM = 32
+# Words of a gram, where the windows are runs of words.
+GRAM_WORDS = 8
 # Distinct pieces of one gram that one task sorts; the windows of larger groups are counted by hash.
 GROUP_PIECES = 30_000
 # Pieces that one round of columns handles together, groups being whole.
@@ -39,6 +44,8 @@ STEP = 1 << (PLACE_BITS - 1)
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+_IN_WORD = np.array([not bytes([byte]).isspace() for byte in range(256)])
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -52,7 +59,10 @@ def gram_hashes(data: np.ndarray, gram: int, powers: np.ndarray, inverses: np.nd
     n = len(data)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + 1) * powers[:n], out=sums[1:])
-    hashes = (sums[gram:] - sums[: n - gram + 1]) * inverses[: n - gram + 1]
+    return _mixed((sums[gram:] - sums[: n - gram + 1]) * inverses[: n - gram + 1])
+
+
+def _mixed(hashes: np.ndarray) -> np.ndarray:
     hashes ^= hashes >> np.uint64(31)
     hashes *= np.uint64(0xBF58476D1CE4E5B9)
     hashes ^= hashes >> np.uint64(29)
@@ -71,6 +81,32 @@ def _window_minima(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
+class WordHashes:
+    """Hashes of the words of texts, a word being a run of bytes that are no ASCII white space."""
+
+    def __init__(self) -> None:
+        self.powers, self.inverses = _powers(_BASE, 0), _powers(_INVERSE, 0)
+
+    def of(self, text: bytes) -> np.ndarray:
+        parts, begin = [np.zeros(0, np.uint64)], 0
+        while begin < len(text):
+            blank = _BLANK.search(text, begin + STEP)  # a part ends where a word does
+            end = blank.start() if blank else len(text)
+            parts.append(self._part(text[begin:end]))
+            begin = end
+        return parts[1] if len(parts) == 2 else np.concatenate(parts)
+
+    def _part(self, text: bytes) -> np.ndarray:
+        data = np.frombuffer(text, np.uint8)
+        if len(data) >= len(self.powers):
+            self.powers, self.inverses = _powers(_BASE, 2 * len(data)), _powers(_INVERSE, 2 * len(data))
+        edges = np.flatnonzero(np.diff(_IN_WORD[data], prepend=False, append=False))
+        firsts, ends = edges[::2], edges[1::2]
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + 1) * self.powers[: len(data)], out=sums[1:])
+        return _mixed((sums[ends] - sums[firsts]) * self.inverses[firsts])
+
+
 class Anchors:
     """Finds the anchors of texts; tables of powers are built once a task."""
 
@@ -79,16 +115,20 @@ class Anchors:
         self.powers = _powers(_BASE, STEP + 2 * length)
         self.inverses = _powers(_INVERSE, STEP + 2 * length)
 
-    def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For each run of windows with one anchor: gram hash, anchor, first and last window start."""
+    def of(self, text: bytes | np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each run of windows with one anchor: gram hash, anchor, first and last window start.
+
+        A text is its bytes, or an array of symbols.
+        """
+        text = np.frombuffer(text, np.uint8) if isinstance(text, bytes) else text
         found = [self._part(text, begin) for begin in range(0, max(len(text) - self.length + 1, 0), STEP)]
         if not found:
             empty = np.zeros(0, np.int64)
             return empty, empty, empty, empty
         return tuple(np.concatenate(parts) for parts in zip(*found, strict=True))
 
-    def _part(self, text: bytes, begin: int) -> tuple[np.ndarray, ...]:
-        data = np.frombuffer(text, np.uint8)[begin : begin + STEP + self.length - 1]
+    def _part(self, text: np.ndarray, begin: int) -> tuple[np.ndarray, ...]:
+        data = text[begin : begin + STEP + self.length - 1]
         hashes = gram_hashes(data, self.gram, self.powers, self.inverses)
         place_bits = np.uint64(PLACE_BITS)
         keys = (hashes >> place_bits << place_bits) | np.arange(len(hashes), dtype=np.uint64)
@@ -100,14 +140,26 @@ class Anchors:
         return hashes[chosen].view(np.int64), chosen + begin, firsts + begin, lasts + begin
 
 
-def equal_windows(group: np.ndarray, pieces: list[bytes], anchors: np.ndarray, length: int) -> np.ndarray:
+def _numbered_words(pieces: list[list[bytes]]) -> np.ndarray:
+    """The pieces' words one after another, equal words as equal numbers."""
+    known: dict[bytes, int] = {}
+    numbers = np.array([known.setdefault(word, len(known)) for piece in pieces for word in piece], np.int64)
+    return numbers.astype(np.uint16) if len(known) < 1 << 16 else numbers
+
+
+def equal_windows(
+    group: np.ndarray, pieces: list[bytes] | list[list[bytes]], anchors: np.ndarray, length: int,
+    owners: np.ndarray | None = None,
+) -> np.ndarray:
     """Places (piece, window start in it) of windows that another piece of the same group also has.
 
-    ``group`` is sorted; ``anchors`` are the places of the anchors in the pieces.
+    ``group`` is sorted; ``anchors`` are the places of the anchors in the pieces. A piece is bytes
+    or a list of words. With ``owners``, only windows count that pieces of different owners have.
     """
     sizes = np.array([len(p) for p in pieces], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    data = np.frombuffer(b"".join(pieces), np.uint8)
+    in_bytes = not len(pieces) or isinstance(pieces[0], bytes)
+    data = np.frombuffer(b"".join(pieces), np.uint8) if in_bytes else _numbered_words(pieces)
     groups = np.unique(group, return_inverse=True)[1]
     small = len(groups) and int(groups[-1]) < 1 << 16
     groups = groups.astype(np.uint16 if small else np.int64)
@@ -159,7 +211,13 @@ def equal_windows(group: np.ndarray, pieces: list[bytes], anchors: np.ndarray, l
         order, common = order[moved], updated
         hit = common >= length
         if hit.any():
-            hit[:-1] |= hit[1:]
+            if owners is None:
+                hit[:-1] |= hit[1:]
+            else:
+                firsts = np.flatnonzero(~hit)
+                own = owners[order]
+                several = np.minimum.reduceat(own, firsts) != np.maximum.reduceat(own, firsts)
+                hit = several[np.cumsum(~hit) - 1]
             of = order[hit]
             found.append(np.stack([of, anchors[of] + column], axis=1))
     return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
@@ -178,16 +236,16 @@ def _runs(marked: np.ndarray) -> dict[int, list[tuple[int, int]]]:
     return runs
 
 
-def _anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """``tid``, ``gram``, ``anchor``, ``first`` and ``last`` of each run of windows."""
+def _anchor_rows(texts: DataFrame, length: int, gram: int, in_words: bool = False) -> DataFrame:
+    """``tid``, ``gram``, ``anchor``, ``first`` and ``last`` of each run of windows, in bytes or words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors = Anchors(length, gram)
+        anchors, hashes = Anchors(length, gram), WordHashes()
         for batch in slices(batches):
             rows, parts = [], []
             for row, text in enumerate(byte_texts(batch.column(1))):
                 if text is not None and len(text) >= length:
-                    found = anchors.of(text)
+                    found = anchors.of(hashes.of(text) if in_words else text)
                     rows.append(np.full(len(found[0]), row))
                     parts.append(found)
             if not parts:
@@ -202,10 +260,11 @@ def _anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
     return texts.mapInArrow(run, "tid binary, gram long, anchor long, first long, last long")
 
 
-def _piece_rows(texts: DataFrame, length: int) -> DataFrame:
+def _piece_rows(texts: DataFrame, length: int, in_words: bool = False) -> DataFrame:
     """``tid``, ``first``, ``last``, ``gram``, ``digest``, ``anchor`` (in the piece), ``piece`` of each run.
 
-    ``piece`` is null where the task has given the same piece before.
+    ``piece`` is null where the task has given the same piece before. Places are bytes or words;
+    the words of a piece have a blank between them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,8 +273,10 @@ def _piece_rows(texts: DataFrame, length: int) -> DataFrame:
             rows = []
             tids = part.column(0).to_pylist()
             for tid, text, runs in zip(tids, byte_texts(part.column(1)), part.column(2).to_pylist(), strict=True):
+                text = text.split() if in_words else text
                 for r in runs:
                     piece = text[r["first"] : r["last"] + length]
+                    piece = b" ".join(piece) if in_words else piece
                     place = r["anchor"] - r["first"]
                     digest = hashlib.blake2b(piece, digest_size=16, salt=place.to_bytes(4, "little")).digest()
                     fresh = digest not in given
@@ -238,12 +299,24 @@ _PIECE_NAMES = ["tid", "first", "last", "gram", "digest", "anchor", "piece"]
 _PIECE_TYPES = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
 
 
-def _sorted_pieces(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From pieces sorted by gram to the runs of window starts that a piece shares with others."""
+def _sorted_pieces(
+    length: int, in_words: bool = False
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From pieces sorted by gram to the runs of window starts that a piece shares with others.
+
+    In words, the pieces have owners, and those of one owner are not others.
+    """
+
+    def owners(rows: list[tuple]) -> np.ndarray:
+        known: dict[bytes, int] = {}
+        # Several texts have a piece without an owner: it is another's to any piece.
+        return np.array([-1 - i if r[4] is None else known.setdefault(r[4], len(known)) for i, r in enumerate(rows)])
 
     def solve(rows: list[tuple]) -> pa.RecordBatch | None:
         group = np.array([r[0] for r in rows], np.int64)
-        marked = equal_windows(group, [r[3] for r in rows], np.array([r[2] for r in rows], np.int64), length)
+        pieces = [r[3].split() if in_words else r[3] for r in rows]
+        places = np.array([r[2] for r in rows], np.int64)
+        marked = equal_windows(group, pieces, places, length, owners(rows) if in_words else None)
         if not len(marked):
             return None
         runs = _runs(marked)
@@ -363,13 +436,98 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -
     return result
 
 
+def _several(tid: str) -> Column:
+    """Aggregate: are there different ones among the ``tid``? By 128 bits of each, in long buffers."""
+    halves = [F.xxhash64(tid), F.xxhash64(F.lit(1), tid)]
+    return (F.min(halves[0]) < F.max(halves[0])) | (F.min(halves[1]) < F.max(halves[1]))
+
+
+def _hot_shared_pieces(pieces: DataFrame, n_words: int) -> DataFrame:
+    """``gram`` and ``digest`` of pieces in groups too large for a task, whose windows others have as well."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for gram, digest, owner, piece in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                words = piece.split()
+                found = [b" ".join(words[s : s + n_words]) for s in range(len(words) - n_words + 1)]
+                n = len(found)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([gram] * n, pa.int64()), pa.array([digest] * n, pa.binary()),
+                        # A piece without an owner is its own owner: no text's name is as long.
+                        pa.array([owner or digest + digest] * n, pa.binary()),
+                        pa.array([hashlib.blake2b(w, digest_size=16).digest() for w in found], pa.binary()),
+                    ],
+                    ["gram", "digest", "owner", "window"],
+                )
+
+    windows = durable(
+        pieces.select("gram", "digest", "owner", "piece")
+        .mapInArrow(run, "gram long, digest binary, owner binary, window binary")
+    )
+    common = windows.groupBy("window").agg(_several("owner").alias("several")).where("several").select("window")
+    found = durable(windows.join(common, "window", "left_semi").select("gram", "digest").distinct())
+    release(windows)
+    return found
+
+
+def texts_with_shared_words(texts: DataFrame, n_words: int, gram: int = GRAM_WORDS) -> DataFrame:
+    """``tid`` of texts that hold ``n_words`` words in a row which a text of another ``tid`` holds too.
+
+    Words are runs of other bytes than ASCII white space; what stands between them does not count.
+    ``texts`` has ``tid`` (of equal texts the same) and ``text``. Texts that occur more than once
+    need not be found here: the caller knows them.
+    """
+    spark = texts.sparkSession
+    gram = min(gram, n_words)
+    anchors = durable(_anchor_rows(texts, n_words, gram, in_words=True))
+    # Stored, so that the join is one of two shuffles, where Spark can split a common gram.
+    again = durable(
+        anchors.groupBy("gram").agg(_several("tid").alias("several")).where("several").select("gram")
+    )
+    by_text = durable(
+        anchors.join(again, "gram", "left_semi")
+        .groupBy("tid").agg(F.collect_set(F.struct("gram", "anchor", "first", "last")).alias("runs"))
+    )
+    release(anchors, again)
+    one_each = texts.join(by_text.withColumnRenamed("tid", "_tid"), F.col("tid") == F.col("_tid")).select(
+        "tid", "text", "runs"
+    )
+    pieces = durable(_piece_rows(one_each, n_words, in_words=True))
+    release(by_text)
+    piece = ["gram", "digest"]
+    distinct = durable(
+        pieces.groupBy(*piece).agg(
+            _several("tid").alias("whole"), F.first("tid").alias("owner"),
+            F.first("anchor").alias("anchor"), F.first("piece", True).alias("piece"),
+        ).withColumn("owner", F.when(~F.col("whole"), F.col("owner")))
+    )
+    groups = durable(distinct.groupBy("gram").agg(F.count("*").alias("pieces")).where("pieces > 1"))
+    usual = distinct.join(groups.where(F.col("pieces") <= GROUP_PIECES), "gram")
+    with batch_rows(spark, 4096):
+        solved = durable(
+            usual.select("gram", "digest", "anchor", "piece", "owner")
+            .repartition("gram").sortWithinPartitions("gram").mapInArrow(
+                _sorted_pieces(n_words, in_words=True), "gram long, digest binary, shared array<int>"
+            ).select(*piece)
+        )
+        hot = distinct.join(groups.where(F.col("pieces") > GROUP_PIECES), "gram")
+        hot_solved = None if hot.isEmpty() else _hot_shared_pieces(hot, n_words)
+    shared = distinct.where("whole").select(*piece).unionByName(solved)
+    shared = shared if hot_solved is None else shared.unionByName(hot_solved)
+    result = durable(pieces.join(shared, piece, "left_semi").select("tid").distinct())
+    release(pieces, distinct, groups, solved, hot_solved)
+    return result
+
+
 def text_id(text: str = "text") -> Column:
     """Column: 128 bits of SHA-256 that name a text; null and empty texts are one."""
     return F.unhex(F.left(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256), F.lit(32)))
 
 
 def drop_passages(
-    documents: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: list[str] | None = None
+    documents: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: list[str] | None = None,
+    n_words: int | None = None,
 ) -> DataFrame:
     """Columns ``keep`` (default: all), ``kept`` (binary), ``n_bytes``, ``n_removed``, ``n_spans``.
 
@@ -377,24 +535,37 @@ def drop_passages(
     starts anywhere else, in the same text included; overlaps count, and strings are judged on the
     input. Null and empty texts have no bytes. Texts with copies lose all their bytes if they are
     long enough; rows that repeat are copies. What is kept is bytes, as a cut may part a character.
+
+    With ``n_words``, a column ``shares_words`` says whether a text holds that many words in a row
+    which another row's text holds too, however few bytes they have. It removes nothing.
     """
     columns = [c for c in (documents.columns if keep is None else keep)]
     named = documents.select(text_id().alias("tid"), "text")
     copies = durable(named.groupBy("tid").agg(F.count("*").alias("n")).where("n > 1").select("tid"))
     windows = repeated_windows(named.where(F.octet_length("text") >= length), length, gram)
-    tid, own_spans, own_copied = (unused(documents, c) for c in ("_tid", "_spans", "_copied"))
+    tid, own_spans, own_copied, own_shares = (
+        unused(documents, c) for c in ("_tid", "_spans", "_copied", "_shares")
+    )
+    marked = windows.join(copies.withColumn("copied", F.lit(True)), "tid", "full")
+    sharing = None
+    if n_words is not None:
+        # A word and what parts it from the next one are two bytes at least.
+        sharing = texts_with_shared_words(named.where(F.octet_length("text") >= 2 * n_words - 1), n_words)
+        marked = marked.join(sharing.withColumn("shares", F.lit(True)), "tid", "full")
     marks = durable(
-        windows.join(copies.withColumn("copied", F.lit(True)), "tid", "full")
-        .select(F.col("tid").alias(tid), F.col("spans").alias(own_spans), F.col("copied").alias(own_copied))
+        marked.select(
+            F.col("tid").alias(tid), F.col("spans").alias(own_spans), F.col("copied").alias(own_copied),
+            (F.lit(None).cast("boolean") if sharing is None else F.col("shares")).alias(own_shares),
+        )
     )
-    release(copies, windows)
+    release(copies, windows, sharing)
     joined = documents.join(marks, text_id() == F.col(tid), "left")
 
     def make() -> Callable[[pa.RecordBatch], dict[str, pa.Array]]:
         def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
             rows = []
-            marked = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
-            for value, (flat, copied) in zip(byte_texts(batch.column(0)), marked, strict=True):
+            marked = zip(*[batch.column(i).to_pylist() for i in (1, 2, 3)], strict=True)
+            for value, (flat, copied, shares) in zip(byte_texts(batch.column(0)), marked, strict=True):
                 text = value or b""
                 spans = sorted(zip(flat[::2], flat[1::2], strict=True)) if flat else []
                 if copied and len(text) >= length:
@@ -407,16 +578,23 @@ def drop_passages(
                     end = max(end, last + length)
                 kept.append(text[end:])
                 rest = b"".join(kept)
-                rows.append((rest, len(text), len(text) - len(rest), count))
+                row = (rest, len(text), len(text) - len(rest), count)
+                if n_words is not None:
+                    row += (bool(shares or (copied and len(text.split()) >= n_words)),)
+                rows.append(row)
             return {
-                name: pa.array(values, kind)
-                for (name, kind), values in zip(_KEPT.items(), zip(*rows, strict=True), strict=True)
+                name: pa.array(values, _KEPT[name])
+                for name, values in zip(list(_KEPT)[: len(rows[0])], zip(*rows, strict=True), strict=True)
             }
 
         return work
 
     added = "kept binary, n_bytes long, n_removed long, n_spans long"
-    return add_columns(joined, ["text", own_spans, own_copied], added, make, columns)
+    added += "" if n_words is None else ", shares_words boolean"
+    return add_columns(joined, ["text", own_spans, own_copied, own_shares], added, make, columns)
 
 
-_KEPT = {"kept": pa.binary(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64()}
+_KEPT = {
+    "kept": pa.binary(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(),
+    "shares_words": pa.bool_(),
+}

@@ -28,6 +28,8 @@ from staylens.llm.oracles import ORACLE_SQL
 __all__ = ["ORACLE_SQL", "QUERIES", "table"]
 
 TOXIC_FROM = 0.7
+# Words in a row that make a passage which documents share, besides the bytes that are removed.
+PASSAGE_WORDS = 51
 # The fold that is never learned from.
 FOLDS, HELD_OUT = 3, 1
 
@@ -72,9 +74,10 @@ def fingerprinted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.drop_passages(table(spark, sf_dir, "documents"), keep=["doc_id"]).select(
+    cut = passages.drop_passages(table(spark, sf_dir, "documents"), keep=["doc_id"], n_words=PASSAGE_WORDS)
+    return cut.select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
-        (F.col("n_removed") > 0).alias("repeats"),
+        (F.col("n_removed") > 0).alias("repeats"), "shares_words",
     )
 
 

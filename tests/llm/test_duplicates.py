@@ -15,7 +15,7 @@ from staylens.llm import embeddings, passages, secrets, shards, simhash
 from staylens.llm.components import components
 from staylens.llm.queries import QUERIES, table
 from tests.llm import brute
-from tests.llm.conftest import FOLDER
+from tests.llm.conftest import COLUMNS, FOLDER
 from tests.llm.test_scans import same
 
 # ---- shards
@@ -155,6 +155,59 @@ def test_passages_removed_from_odd_rows(odd, odd_rows, empty, monkeypatch, group
     assert passages.drop_passages(empty).collect() == []
 
 
+def sharing_words(rows, n):
+    """For each row, whether it has ``n`` words in a row which a row of other or equal text has too."""
+    runs = []
+    for _, text in rows:
+        words = (text or "").encode().split()
+        runs.append({tuple(words[i : i + n]) for i in range(len(words) - n + 1)})
+    seen = Counter(run for own in runs for run in own)
+    return [any(seen[run] > 1 for run in own) for own in runs]
+
+
+def test_short_passages_of_over_fifty_words_are_told(spark, documents, result):
+    expected = dict(zip([d for d, _ in documents], sharing_words(documents, 51), strict=True))
+    found = result("op3_passage_dedup")
+    assert {r.doc_id: r.shares_words for r in found} == expected
+    # Some hold no string of 400 bytes that repeats, so they lose nothing.
+    assert any(r.shares_words and not r.n_removed for r in found)
+
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(3, 6)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passage = text(51)
+    rows = [(i, f"{text(40)} {passage}\n{text(i)}") for i in range(3)]
+    rows += [(3, f"{text(9)} {passage.rsplit(' ', 1)[0]} {text(9)}"), (4, f"{passage} x " + passage.replace(" ", "\t "))]
+    alone = text(60)
+    rows += [(5, f"{alone} and {alone}"), (6, text(300)), (7, None), (8, "")]
+    frame = spark.createDataFrame([(*r, None, None, None) for r in rows], COLUMNS)
+    told = passages.drop_passages(frame, keep=["doc_id"], n_words=51).collect()
+    assert {r.doc_id: r.shares_words for r in told} == {i: i in (0, 1, 2, 4) for i in range(9)}
+    assert all(r.n_removed == 0 for r in told if r.doc_id < 4)
+
+
+@pytest.mark.parametrize("group", [30_000, 1])
+@pytest.mark.parametrize("n", [1, 2, 3, 12])
+def test_shared_words_of_odd_rows(odd, odd_rows, empty, monkeypatch, group, n):
+    monkeypatch.setattr(passages, "GROUP_PIECES", group)
+    found = passages.drop_passages(odd, keep=["doc_id", "text"], n_words=n)
+    same(found.select("doc_id", "text", "shares_words").collect(),
+         [(*row, shares) for row, shares in zip(odd_rows, sharing_words(odd_rows, n), strict=True)])
+    assert passages.drop_passages(empty, n_words=n).collect() == []
+
+
+def test_words_of_parts_of_a_text_agree(monkeypatch):
+    monkeypatch.setattr(passages, "STEP", 64)
+    rng = random.Random(2)
+    hashes, seen = passages.WordHashes(), {}
+    for _ in range(150):
+        text = bytes(rng.choices(b"ab\xc3\xa9 \n\t\x0b\x1c", k=rng.randint(0, 300))) + b"c" * rng.choice([0, 0, 500])
+        found = hashes.of(text).tolist()
+        assert len(found) == len(text.split())
+        assert all(seen.setdefault(word, h) == h for word, h in zip(text.split(), found, strict=True))
+    assert len(set(seen.values())) == len(seen) > 500
+
+
 def test_anchors_of_parts_of_a_text_agree(monkeypatch):
     monkeypatch.setattr(passages, "STEP", 64)
     rng = random.Random(1)
